@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared scratch folder and read it back: cuts lineage and
     survives the loss of any executor, which a cache would not."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -89,3 +91,18 @@ def _digest(edges: DataFrame) -> tuple:
         F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("long"))
     ).first()
     return tuple(row)
+
+
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Fewer rows in each Arrow batch than Spark's default, for tables with very long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers that see this checkout import the package; a cluster that doesn't share
+    the path takes it by --py-files instead."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))

@@ -6,14 +6,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import secrets, sharding
-from wayfare.llm.common import text_or_empty
+from wayfare.llm import minhash, secrets, sharding, toxicity
+from wayfare.llm.common import ship, short_batches, text_or_empty
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    short_batches(spark)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out()), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     return shards.select(
@@ -27,6 +36,10 @@ def op6_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_signature_join_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secret_spans", lambda s: s["kind"].isin(*[r.kind for r in secrets.RULES if r.base]))
@@ -68,7 +81,9 @@ def _secret_sql() -> str:
 
 
 QUERIES = {
+    "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op6_histogram_sort_shards": op6_histogram_sort_shards,
+    "op7_signature_join_near_dedup": op7_signature_join_near_dedup,
     "op10_trigram_secret_scan": op10_trigram_secret_scan,
 }
 
