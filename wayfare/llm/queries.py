@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import minhash, secrets, sharding, toxicity
+from wayfare.llm import decontamination, minhash, packing, secrets, sharding, toxicity
 from wayfare.llm.common import ship, short_batches, text_or_empty
 
 
@@ -23,6 +23,22 @@ def op1_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> Data
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), 2048)
+
+
 def op6_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     return shards.select(
@@ -82,6 +98,8 @@ def _secret_sql() -> str:
 
 QUERIES = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
+    "op4_bm25_wand_decontamination": op4_bm25_wand_decontamination,
+    "op5_grouping_genetic_packing": op5_grouping_genetic_packing,
     "op6_histogram_sort_shards": op6_histogram_sort_shards,
     "op7_signature_join_near_dedup": op7_signature_join_near_dedup,
     "op10_trigram_secret_scan": op10_trigram_secret_scan,
