@@ -1,14 +1,71 @@
-"""Corpus pipeline over the documents table."""
+"""Corpus pipeline: toxic documents go, one of each group of near copies stays, documents that hold
+benchmark items go, secrets are masked, and what is left is packed into sequences."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfare.llm import decontamination, minhash, packing, secrets, toxicity
+from wayfare.llm.common import fresh, ship, short_batches, stored
+from wayfare.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled rows of the tables, doesn't reject."""
+    ship(spark)
+    short_batches(spark)
+    columns = docs.columns
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(known, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*[F.col(f"`{c}`") for c in columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group linked by five-word shingles at 0.8."""
+    ship(spark)
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), width=5)
+    gone = fresh(docs, "gone_id")[0]
+    lost = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(lost, docs["doc_id"] == lost[gone], "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontamination.find_leaks(docs, items)
+    return found.where(F.size("leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked in their texts."""
+    return secrets.redact_secrets(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their place in sequences of 2048 tokens."""
+    ship(spark)
+    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path(), 2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: A learned classifier, BM25 and a genetic algorithm: not SQL. tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """documents through every stage of STAGES."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents through every stage; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
     return docs
