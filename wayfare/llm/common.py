@@ -93,11 +93,13 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Fewer rows in each Arrow batch than Spark's default, for tables with very long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def short_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20) -> None:
+    """Smaller Arrow batches than Spark's default, for tables with very long texts."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def ship(spark: SparkSession) -> None:

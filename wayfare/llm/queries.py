@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontamination, minhash, packing, secrets, sharding, toxicity
+from wayfare.llm import chunk_dedup, decontamination, html_extract, minhash, packing, secrets, sharding, suffix_dedup, toxicity
 from wayfare.llm.common import ship, short_batches, text_or_empty
 
 
@@ -23,6 +23,17 @@ def op1_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> Data
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -56,6 +67,23 @@ def op7_signature_join_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_flat_block_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op9_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose something, with the documents that have it first."""
+    found = chunk_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.where(F.size("removed") > 0).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept_text")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"),
+        "first_doc_ids",
+    )
+
+
 def op10_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secret_spans", lambda s: s["kind"].isin(*[r.kind for r in secrets.RULES if r.base]))
@@ -98,10 +126,13 @@ def _secret_sql() -> str:
 
 QUERIES = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_bm25_wand_decontamination": op4_bm25_wand_decontamination,
     "op5_grouping_genetic_packing": op5_grouping_genetic_packing,
     "op6_histogram_sort_shards": op6_histogram_sort_shards,
     "op7_signature_join_near_dedup": op7_signature_join_near_dedup,
+    "op8_flat_block_html_extraction": op8_flat_block_html_extraction,
+    "op9_gear_chunk_dedup": op9_gear_chunk_dedup,
     "op10_trigram_secret_scan": op10_trigram_secret_scan,
 }
 
