@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import chunk_dedup, decontamination, html_extract, minhash, packing, secrets, sharding, suffix_dedup, toxicity
+from wayfare.llm import chunk_dedup, decontamination, embedding_graph, html_extract, minhash, packing, secrets, sharding, suffix_dedup, toxicity
 from wayfare.llm.common import ship, short_batches, text_or_empty
 
 
@@ -23,6 +23,10 @@ def op1_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> Data
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_pruned_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -126,6 +130,7 @@ def _secret_sql() -> str:
 
 QUERIES = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
+    "op2_pruned_graph_near_dedup": op2_pruned_graph_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_bm25_wand_decontamination": op4_bm25_wand_decontamination,
     "op5_grouping_genetic_packing": op5_grouping_genetic_packing,
