@@ -57,7 +57,7 @@ def _signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, width: int = 2, coordinates: int = COORDINATES) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, tokens): a 128-bit name of the shingle set and its signature,
-    each value with its coordinate in the low bits."""
+    each value with its coordinate in the low bits, and eight bits of each value as the sketch."""
     factors = np.random.default_rng(11).integers(0, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     short_batches(docs.sparkSession)
 
@@ -69,10 +69,19 @@ def signatures(docs: DataFrame, width: int = 2, coordinates: int = COORDINATES)
                 own = shingle_set(text, width, words)
                 name = xxhash.xxh3_128_digest(own.tobytes())
                 a, b = np.frombuffer(name, np.int64)
-                rows.append((None if pd.isna(doc_id) else int(doc_id), len(own), a, b, _signature(own, factors) if len(own) else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "tokens"]).astype({"doc_id": "Int64"})
+                tokens = _signature(own, factors) if len(own) else np.empty(0, np.int64)
+                rows.append((None if pd.isna(doc_id) else int(doc_id), len(own), a, b, tokens, (tokens >> 6).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "tokens", "sketch"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, set_a long, set_b long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, set_a long, set_b long, tokens array<long>, sketch binary")
+
+
+def _agreements(left: pd.Series, right: pd.Series) -> pd.Series:
+    """On how many coordinates the sketches agree."""
+    if not len(left):
+        return pd.Series([], dtype="int32")
+    same = np.frombuffer(b"".join(left), np.uint8) == np.frombuffer(b"".join(right), np.uint8)
+    return pd.Series(same.reshape(len(left), -1).sum(1, dtype=np.int32))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -97,7 +106,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 2, percent: int = 80, coordinates: int = COORDINATES, least: int = LEAST
+    docs: DataFrame, width: int = 2, percent: int = 80, coordinates: int = COORDINATES, least: int = LEAST, rounds: int = 3, centres: int = 3
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
@@ -109,7 +118,7 @@ def near_duplicates(
     sigs = stored(signatures(docs, width, coordinates), "minhash-sigs")
     classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     reps = sigs.join(classes.withColumnRenamed("id", "doc_id"), ["set_a", "set_b", "doc_id"]).dropDuplicates(["set_a", "set_b"])
-    reps = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "tokens"), "minhash-classes")
+    reps = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "tokens", "sketch"), "minhash-classes")
 
     posted = reps.select("id", "n", F.explode("tokens").alias("token"))
     common = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -123,36 +132,42 @@ def near_duplicates(
         ).drop("_n").dropDuplicates(["id"]),
         "minhash-texts",
     )
-    tokens = reps.join(ids, "id")
+    sketches = reps.join(ids, "id").select("id", "sketch")
+
+    agreements = F.pandas_udf(_agreements, "int")
 
     def counted(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of fitting sizes that agree on enough coordinates, with their agreements."""
-        left = tokens.select(F.col("id").alias("u"), F.col("tokens").alias("tokens_u"), F.col("n").alias("n_u"))
-        right = tokens.select(F.col("id").alias("v"), F.col("tokens").alias("tokens_v"), F.col("n").alias("n_v"))
+        """Distinct pairs that agree on enough coordinates, with their agreements."""
+        left = sketches.select(F.col("id").alias("u"), F.col("sketch").alias("sketch_u"))
+        right = sketches.select(F.col("id").alias("v"), F.col("sketch").alias("sketch_v"))
         joined = pairs.distinct().join(left, "u").join(right, "v")
-        fits = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-        agree = F.size(F.array_intersect("tokens_u", "tokens_v"))
-        return joined.where(fits).select("u", "v", agree.alias("agree")).where(F.col("agree") >= least)
-
-    centre = lists.groupBy("token").agg(F.min("id").alias("u"))
-    stars = lists.join(centre, "token").where("id > u").select("u", F.col("id").alias("v"))
-    best = counted(stars).groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")).select("u", "v")
-    links = stored(_confirm(best, texts, width, percent), "minhash-links")
-    found = stored(connected_components(links), "minhash-components")
-
-    placed = lists.join(found, "id", "left").select("token", "id", "n", F.coalesce("component_id", "id").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    left = stored(placed.join(mixed, "token"), "minhash-mixed")
-    right = left.select("token", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"))
-    cross = left.withColumnRenamed("id", "u").join(right, "token").where(
-        f"u < v and c <> c_v and 100 * least(n, n_v) >= {percent} * greatest(n, n_v)"
-    )
+        return joined.select("u", "v", agreements("sketch_u", "sketch_v").alias("agree")).where(F.col("agree") >= least)
+
+    fits = f"100 * least(n, n_u) >= {percent} * greatest(n, n_u)"
+    placed, links, found = lists.withColumn("c", F.col("id")), None, None
+    for turn in range(rounds):
+        # every member of a list tries a few members drawn by hash; the best agreement is confirmed
+        drawn = [F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(turn * centres + i))) for i in range(centres)]
+        centre = placed.groupBy("token").agg(F.array_distinct(F.array(*drawn)).alias("centres"))
+        tried = placed.join(centre, "token").select("id", "n", "c", F.explode("centres").alias("u"))
+        tried = tried.select(F.col("id").alias("v"), "n", "c", F.col("u.id").alias("u"), F.col("u.n").alias("n_u"), F.col("u.c").alias("c_u"))
+        tried = tried.where(f"c <> c_u and {fits}").select("u", "v")
+        best = counted(tried).groupBy("v").agg(F.max_by("u", F.struct("agree", -F.col("u"))).alias("u")).select("u", "v")
+        more = _confirm(best, texts, width, percent)
+        links = stored(more if links is None else links.union(more), "minhash-links")
+        found = stored(connected_components(links), "minhash-components")
+        placed = lists.join(found, "id", "left").select("token", "id", "n", F.coalesce("component_id", "id").alias("c"))
+        mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+        placed = stored(placed.join(mixed, "token"), "minhash-mixed")
+    # what is left: every pair of different components under one token
+    right = placed.select("token", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"))
+    cross = placed.withColumnRenamed("id", "v").join(right, "token").where(f"u < v and c <> c_u and {fits}")
     more = _confirm(counted(cross.select("u", "v")).select("u", "v"), texts, width, percent)
     links = stored(links.union(more), "minhash-links")
     found = connected_components(links)
 
     named = classes.join(found, "id", "left").select("set_a", "set_b", F.coalesce("component_id", "id").alias("c"))
-    rows = sigs.drop("tokens").join(named, ["set_a", "set_b"], "left")
+    rows = sigs.drop("tokens", "sketch").join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
     return rows.select(
         "doc_id",
