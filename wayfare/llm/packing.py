@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import unicodedata
 import zlib
 
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import short_batches, stored
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+WORD = re.compile(r"([^\W\d_]+)((?:(?!<\|)[!-&(-/:-@\[-^`{-~])*)")  # letters, then ASCII signs but ' and _
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,10 +36,14 @@ class TokenCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.bytes = {b: chr(256 + i) for i, b in enumerate(hidden)}  # how the byte level spells the others
         self._reset()
 
     def _reset(self):
-        self.known, self.size = {"": 0}, 0
+        self.known, self.size, self.tails = {"": 0}, 0, {}
         self.starts, self.lens, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -62,12 +68,40 @@ class TokenCache:
             out.append(self.flat[np.arange(sizes.sum()) + np.repeat(shift, sizes)])
         return out
 
+    def _letters(self, word: str) -> list[int]:
+        """ids of a lower-case run of letters, which is one token before the model splits it."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """ids of words; letters, and letters before other signs, without the costly general way."""
+        out, hard, at = [], [], []
+        for word in words:
+            match = WORD.fullmatch(word)
+            if match and match[1].isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word) and "İ" not in word) and word == word.lower():
+                ids, tail = self._letters(match[1]), match[2]
+                if tail:
+                    if tail not in self.tails:
+                        if len(self.tails) > 50_000:
+                            self.tails.clear()
+                        self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+                    ids = ids + self.tails[tail]
+                out.append(ids)
+            else:
+                at.append(len(out))
+                out.append(None)
+                hard.append(word)
+        for i, found in zip(at, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
+            out[i] = found.ids
+        return out
+
     def _learn(self, words: list[str]):
         first = len(self.known) - len(words)
         if len(self.known) > len(self.starts):
             self.starts, self.lens = (np.resize(x, 2 * len(self.known)) for x in (self.starts, self.lens))
         for at in range(0, len(words), 4096):
-            part = [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+            part = self._ids(words[at : at + 4096])
             sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
             ids = np.fromiter((i for x in part for i in x), dtype=np.uint32, count=sizes.sum())
             if self.size + len(ids) > len(self.flat):
