@@ -95,7 +95,7 @@ m as (select *, case when bad_json then 'not_an_object' when no_id then 'missing
   when bad_ts then 'bad_event_ts' end as reason from r)"""
 
 
-@query(f"""with {_RAW} select n as event_no, case n % 7 when 1 then epoch_us(ts) when 5 then epoch_ms(ts) * 1000 else epoch_us(date_trunc('second', ts)) end as micros
+@query(f"""with {_RAW} select n as event_no, case n % 7 when 1 then epoch_us(ts) when 5 then epoch_us(ts) // 1000 * 1000 else epoch_us(date_trunc('second', ts)) end as micros
   from m where not bad_json and not bad_ts""")
 def ts_spellings(spark, sf) -> DataFrame:
     v = F.try_parse_json("value")

@@ -27,8 +27,7 @@ def as_text(value: Column) -> Column:
 
 def as_float(value: Column) -> Column:
     """Null where it doesn't parse and where it is not a number; infinities stay."""
-    x = F.trim(value).try_cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.nanvl(F.trim(value).try_cast("double"), F.lit(None).cast("double"))
 
 
 def as_int(value: Column) -> Column:
@@ -40,7 +39,10 @@ def parse_timestamp(value: Column) -> Column:
     """UTC instant of a text: epoch seconds (10 digits, perhaps a fraction) or milliseconds (13), ISO
     date and time with Z, an offset or neither, a plain or day-first or slashed date and time.
     Anything else is null: a bare year or time of day is not an instant."""
-    t = as_text(value)
+    return _instant(as_text(value))
+
+
+def _instant(t: Column) -> Column:
     zoned = F.regexp_replace(F.regexp_replace(t, r" ?[Zz]$", "+00:00"), r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
 
     def spelled(pattern: str, fmt: str) -> Column:
@@ -57,11 +59,11 @@ def parse_timestamp(value: Column) -> Column:
     )
 
 
-def _typed(kind: str, shape: Column, text: Column) -> Column:
+def _typed(kind: str, shape: Column, instant: Column) -> Column:
     """Whether a variant of this shape is acceptable for the kind; absent and null always are here."""
     whole = shape == "BIGINT"
     number = whole | shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT")
-    ok = {"str": shape == "STRING", "int": whole, "float": number, "timestamp": parse_timestamp(text).isNotNull()}[kind]
+    ok = {"str": shape == "STRING", "int": whole, "float": number, "timestamp": instant.isNotNull()}[kind]
     return shape.isNull() | (shape == "VOID") | ok
 
 
@@ -72,40 +74,48 @@ def normalise(raw: DataFrame, value: str = "value", ingested_at: str = "ingested
     Fatal, in this order: text that is no JSON object, no event_id, no trip_id, a type outside the
     vocabulary, an unreadable event_ts. Everything else is flagged and kept."""
     v = F.try_parse_json(F.col(value))
-    body = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
-    raw = raw.select(F.col(value).alias("payload"), F.col(ingested_at).alias("ingested_at"), body.alias("v"))
+    names = (*registry.all_fields(), registry.RESERVED)
+    # one projection for each step, so that no step's expressions are copied into the next
+    step = raw.select(F.col(value).alias("payload"), F.col(ingested_at).alias("ingested_at"), v.alias("v"))
+    step = step.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
+    texts = {f"t_{n}": F.regexp_replace(F.try_variant_get("v", f"$.{n}", "string"), r"^\s+|\s+$", "") for n in names}
+    shapes = {f"s_{n}": F.schema_of_variant(F.try_variant_get("v", f"$.{n}", "variant")) for n in registry.all_fields()}
+    step = step.withColumns(texts | shapes)
+    step = step.withColumns({t: F.nullif(F.col(t), F.lit("")) for t in texts} | {"instant": _instant(F.nullif(F.col("t_event_ts"), F.lit("")))})
+    numbers = {f"x_{n}": as_float(F.col(f"t_{n}")) for n in ("lat", "lon")} | {f"x_{n}": as_int(F.col(f"t_{n}")) for n in ("distance_m", "promised_minutes")}
+    step = step.withColumns(numbers | {"kind": F.lower("t_event_type"), "version": F.coalesce(f"t_{registry.RESERVED}", F.lit(registry.OLDEST))})
+
+    # a filter on the reason would else be pushed down, and all of the parsing copied into it
+    step = step.withColumn("row_no", F.monotonically_increasing_id())
 
     def text(name: str) -> Column:
-        return as_text(F.try_variant_get("v", f"$.{name}", "string"))
-
-    def shape(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
+        return F.col(f"t_{name}")
 
-    version = F.coalesce(text(registry.RESERVED), F.lit(registry.OLDEST))
+    version, event_type, instant = F.col("version"), F.col("kind"), F.col("instant")
     known_version = F.when(version.isin(*registry.VERSIONS), version).otherwise(registry.OLDEST)
-    event_type = F.lower(text("event_type"))
-    lat, lon, distance, promise = as_float(text("lat")), as_float(text("lon")), as_int(text("distance_m")), as_int(text("promised_minutes"))
+    lat, lon, distance, promise = (F.col(f"x_{n}") for n in ("lat", "lon", "distance_m", "promised_minutes"))
     lat_ok, lon_ok = lat.between(-90, 90), lon.between(-180, 180)
     reason = F.coalesce(
         F.when(F.col("v").isNull(), F.lit("not_an_object")),
         F.when(text("event_id").isNull(), F.lit("missing_event_id")),
         F.when(text("trip_id").isNull(), F.lit("missing_trip_id")),
         F.when(F.coalesce(~event_type.isin(*VOCABULARY), F.lit(True)), F.lit("unknown_event_type")),
-        F.when(parse_timestamp(text("event_ts")).isNull(), F.lit("bad_event_ts")),
+        F.when(instant.isNull(), F.lit("bad_event_ts")),
     )
     fields = F.map_filter(F.col("v").cast("map<string,variant>"), lambda k, _: ~k.startswith("_") & (k != registry.RESERVED))
-    names = {ver: F.array(*[F.lit(f.name) for f in registry.fields(ver)]) for ver in registry.VERSIONS}
-    declared = F.coalesce(*[F.when(known_version == ver, own) for ver, own in names.items()])
+    by_version = {ver: F.array(*[F.lit(f.name) for f in registry.fields(ver)]) for ver in registry.VERSIONS}
+    step = step.withColumns({"fields": fields, "declared": F.coalesce(*[F.when(known_version == ver, own) for ver, own in by_version.items()]), "given": _defaults(known_version)})
+    fields, declared = F.col("fields"), F.col("declared")
     columns = F.array(*map(F.lit, SILVER_COLUMNS))
-    undeclared = F.map_filter(fields, lambda k, _: ~F.array_contains(declared, k))
+    undeclared = F.exists(F.map_keys(fields), lambda k: ~F.array_contains(declared, k))
     mistyped = [
-        F.when(F.array_contains(declared, name) & ~_typed(f.kind, shape(name), text(name)), F.lit(f"mistyped:{name}"))
+        F.when(F.array_contains(declared, name) & ~_typed(f.kind, F.col(f"s_{name}"), instant), F.lit(f"mistyped:{name}"))
         for name, f in sorted(registry.all_fields().items())
     ]
     issues = F.array_compact(
         F.array(
             *mistyped,
-            F.when(F.map_keys(undeclared)[0].isNotNull(), F.lit("undeclared_fields")),
+            F.when(undeclared, F.lit("undeclared_fields")),
             F.when(text("driver_id").isNull(), F.lit("null_driver_id")),
             F.when(text("store_id").isNull(), F.lit("null_store_id")),
             F.when(~lat_ok, F.lit("lat_out_of_range")),
@@ -115,16 +125,16 @@ def normalise(raw: DataFrame, value: str = "value", ingested_at: str = "ingested
         )
     )
     own = F.map_filter(fields, lambda k, _: ~F.array_contains(columns, k))
-    absent = F.map_filter(_defaults(known_version), lambda k, _: ~F.array_contains(F.map_keys(fields), k) & ~F.array_contains(columns, k))
-    extra = F.map_concat(absent, own)
-    return raw.select(
+    absent = F.map_filter(F.col("given"), lambda k, _: ~F.array_contains(F.map_keys(fields), k) & ~F.array_contains(columns, k))
+    step = step.withColumns({"extra_map": F.map_concat(absent, own), "issues": issues, "reason": F.when(F.col("row_no") >= 0, reason)})
+    return step.select(
         text("event_id").alias("event_id"),
         text("trip_id").alias("trip_id"),
         text("order_id").alias("order_id"),
         text("driver_id").alias("driver_id"),
         text("store_id").alias("store_id"),
         event_type.alias("event_type"),
-        parse_timestamp(text("event_ts")).alias("event_ts"),
+        instant.alias("event_ts"),
         "ingested_at",
         F.when(lat_ok, lat).alias("lat"),
         F.when(lon_ok, lon).alias("lon"),
@@ -132,9 +142,9 @@ def normalise(raw: DataFrame, value: str = "value", ingested_at: str = "ingested
         F.when(promise > 0, promise).alias("promised_minutes"),
         F.coalesce(text("producer_version"), F.lit("unknown")).alias("producer_version"),
         version.alias("schema_version"),
-        F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra"),
-        issues.alias("issues"),
-        reason.alias("reason"),
+        F.when(F.size("extra_map") > 0, F.to_json("extra_map")).alias("extra"),
+        "issues",
+        "reason",
         "payload",
     )
 
