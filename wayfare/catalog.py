@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import contract, registry
 from wayfare.operators import cdc, dedupe, gates, marts, star, trips
-from wayfare.plans import adapters
+from wayfare.plans import adapters, runner
+from wayfare.sources import lake
 
 AS_OF = "2024-01-31 00:00:00"
 QUERIES: dict = {}
@@ -514,3 +515,16 @@ def cdc_flatten(spark, sf) -> DataFrame:
 def cdc_composite_key(spark, sf) -> DataFrame:
     state = cdc.collapse(cdc.parse(adapters.change_messages(spark, sf), ["driver_id", "vehicle"]))
     return cdc.live(state).select(F.col("key")[0].alias("driver_id"), F.col("key")[1].alias("vehicle"), "lsn")
+
+
+# ---- lake -----------------------------------------------------------------------------------------
+
+
+@query(f"with {_RAW} select case when bad_json or bad_ts then 'unknown' else strftime(ts, '%Y-%m-%d') end as dt, count(*) as n from m group by 1")
+def bronze_partition_counts(spark, sf) -> DataFrame:
+    return lake.with_day(adapters.raw_events(spark, sf)).groupBy("dt").agg(F.count("*").alias("n"))
+
+
+@query("""select * from (values ('2024-01-05'), ('2024-01-28'), ('2024-01-29'), ('2024-01-30'), ('2024-01-31')) t(dt)""")
+def reprocess_window(spark, sf) -> DataFrame:
+    return runner.reprocess_days(["2024-01-05", "2024-01-30"], "2024-01-31", spark)
