@@ -116,8 +116,11 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], padded: np.ndarray, que
     """For each query (vertex number) all vertices found with cosine >= least, itself excepted.
 
     A beam search lands near the query; from there the search goes on through every vertex within
-    slack of the threshold until no new one turns up."""
+    slack of the threshold, along edges in either direction, until no new one turns up."""
     entry, out = medoid(x), []
+    source, target = np.repeat(np.arange(len(graph)), [len(g) for g in graph]), np.concatenate(graph) if len(graph) else np.empty(0, int)
+    edges = np.unique(np.concatenate([source, target]) * np.int64(len(x)) + np.concatenate([target, source]))
+    both = np.split(edges % len(x), np.searchsorted(edges // len(x), np.arange(1, len(x))))
     for first in range(0, len(queries), 256):
         own = queries[first : first + 256]
         ids, cos = beam_search(x, padded, entry, x[own], width)
@@ -127,7 +130,7 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], padded: np.ndarray, que
             seen[open_] = True
             hits = [open_]
             while len(open_):
-                more = np.unique(np.concatenate([graph[v] for v in open_.tolist()]))
+                more = np.unique(np.concatenate([both[v] for v in open_.tolist()]))
                 more = more[~seen[more]]
                 seen[more] = True
                 open_ = more[x[more] @ x[q] >= least - slack]
