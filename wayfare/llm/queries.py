@@ -128,6 +128,25 @@ def _secret_sql() -> str:
       sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans from t left join per using (r)"""
 
 
+_SUFFIX_SQL = """with t as (select row_number() over () as r, doc_id, coalesce(text, '') as x, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, doc_id, p, substr(h, 2 * p + 1, 100) as s from (select r, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) as p from t) where doc_id is not null),
+f as (select s, min(doc_id) as first from w group by s),
+g as (select r, p, p > coalesce(lag(p) over (partition by r order by p) + 50, -1) as starts from w join f using (s) where first < doc_id),
+n as (select r, min(p) as a, max(p) + 50 as b from (select r, p, sum(starts::int) over (partition by r order by p) as run from g) group by r, run),
+k as (select t.r, n.a, n.b, substr(h, 2 * coalesce(lag(n.b) over v, 0) + 1, 2 * (n.a - coalesce(lag(n.b) over v, 0))) as part, max(n.b) over (partition by t.r) as last
+  from t join n using (r) window v as (partition by t.r order by n.a)),
+c as (select r, string_agg(part, '' order by a) as parts, sum(b - a) as gone, count(*) as spans, any_value(last) as last from k group by r)
+select doc_id, length(h) // 2 as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(parts, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from t left join c using (r)"""
+
+_SHINGLE_SQL = r"""with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as own from t),
+u as (select doc_id, len(own) as n, unnest(own) as sh from s),
+l as (select a.doc_id as x, b.doc_id as y from u a join u b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e as (select x, y from l union all select y, x from l),
+r(x, y) as (select doc_id, doc_id from s union select r.x, e.y from r join e on r.y = e.x)
+select doc_id, len(own) as n_shingles, component_id, doc_id = component_id as kept from s join (select x as doc_id, min(y) as component_id from r group by x) using (doc_id)"""
+
 QUERIES = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op2_pruned_graph_near_dedup": op2_pruned_graph_near_dedup,
@@ -142,5 +161,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_suffix_array_dedup": _SUFFIX_SQL,
+    "op7_signature_join_near_dedup": _SHINGLE_SQL,
     "op10_trigram_secret_scan": _secret_sql(),
 }
