@@ -2,8 +2,9 @@
 
 A document is posted under each (coordinate, value) pair of its signature. Two documents that agree
 on at least `least` of the coordinates must meet under one of the rarest pairs of either, so only
-that prefix is joined; posting lists whose members are in one component already are skipped; what
-is left is counted on whole signatures and confirmed on full shingle sets."""
+that prefix is joined. A few members drawn from each list are tried first, counted on whole signatures and
+confirmed on full shingle sets; lists whose members are in one component by then are skipped, and
+the documents of the others are compared in blocks."""
 
 from __future__ import annotations
 
@@ -105,8 +106,93 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return joined.select("u", "v", "text_u", "text_v").mapInPandas(check, "u long, v long")
 
 
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 16
+
+
+def _compare_blocks(placed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join what is still apart in lists of several components: placed(token, id, n, c).
+
+    Documents that share a list, at any remove, form a cluster; a cluster is cut by size into bands, as
+    only neighbouring bands can link, and by hash into blocks of bounded content. Pairs of blocks that
+    hold more than one component are compared as wholes on full shingle sets. What comes out is a
+    spanning forest of the links in a pair of blocks, so nothing grows with the number of pairs."""
+    first = placed.groupBy("token").agg(F.min("id").alias("v"))
+    clusters = stored(connected_components(placed.join(first, "token").select(F.col("id").alias("u"), "v")), "clusters")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9)).cast("int")
+    members = placed.select("id", "n", "c").distinct().join(clusters.withColumnRenamed("component_id", "cluster"), "id")
+    members = members.withColumn("band", band)
+    counts = members.groupBy("cluster", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    members = members.join(counts.select("cluster", "band", parts), ["cluster", "band"])
+    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def squeeze(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        words = _Words()
+        sets = [shingle_set(t, width, words) for t in group["text"]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        raw = b"".join([group["id"].to_numpy(np.int64).tobytes(), sizes.tobytes(), *[x.tobytes() for x in sets]])
+        return pd.DataFrame({"cluster": [key[0]], "band": [key[1]], "part": [key[2]], "low": [group["c"].min()], "high": [group["c"].max()], "docs": [len(group)], "sets": [raw]})
+
+    full = members.join(texts, "id").select("cluster", "band", "part", "id", "c", "text")
+    schema = "cluster long, band int, part int, low long, high long, docs long, sets binary"
+    blocks = stored(full.groupBy("cluster", "band", "part").applyInPandas(squeeze, schema), "minhash-blocks")
+    names = blocks.drop("sets", "docs")
+    other = names.select("cluster", *[F.col(x).alias(f"{x}_v") for x in ("band", "part", "low", "high")])
+    pairs = names.join(other, "cluster").where(
+        "((band_v = band and part_v >= part) or band_v = band + 1) and not (low = high and low_v = high_v and low = low_v)"
+    )
+    pairs = pairs.select("cluster", "band", "part", "band_v", "part_v")
+    right = blocks.select("cluster", F.col("band").alias("band_v"), F.col("part").alias("part_v"), F.col("sets").alias("sets_v"), F.col("docs").alias("docs_v"))
+    joined = pairs.join(blocks.drop("low", "high"), ["cluster", "band", "part"]).join(right, ["cluster", "band_v", "part_v"])
+
+    def compare(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                ids_u, sizes_u, flat_u = _opened(row.sets, row.docs)
+                ids_v, sizes_v, flat_v = _opened(row.sets_v, row.docs_v)
+                vocabulary = np.intersect1d(flat_u, flat_v)
+                both = np.zeros((len(ids_u), len(ids_v)), np.float32)
+                at_u, own_u = _within(vocabulary, flat_u, sizes_u)
+                at_v, own_v = _within(vocabulary, flat_v, sizes_v)
+                for lo in range(0, len(vocabulary), 8192):
+                    left, right = np.zeros((len(ids_u), 8192), np.float32), np.zeros((len(ids_v), 8192), np.float32)
+                    take = (at_u >= lo) & (at_u < lo + 8192)
+                    left[own_u[take], at_u[take] - lo] = 1
+                    take = (at_v >= lo) & (at_v < lo + 8192)
+                    right[own_v[take], at_v[take] - lo] = 1
+                    both += left @ right.T
+                shared = both.astype(np.int64)
+                u, v = np.nonzero(100 * shared >= percent * (sizes_u[:, None] + sizes_v[None, :] - shared))
+                u, v = ids_u[u], ids_v[v]
+                names, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+                label, before = np.arange(len(names)), None
+                a, b = index[: len(u)], index[len(u) :]
+                while before is None or (label != before).any():
+                    before = label.copy()
+                    np.minimum.at(label, a, label[b])
+                    np.minimum.at(label, b, label[a])
+                    label = label[label]
+                moved = label != np.arange(len(names))
+                yield pd.DataFrame({"u": names[label[moved]], "v": names[moved]})
+
+    return joined.select("docs", "sets", "docs_v", "sets_v").mapInPandas(compare, "u long, v long")
+
+
+def _opened(raw: bytes, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(raw, np.int64)
+    return numbers[:docs], numbers[docs : 2 * docs], numbers[2 * docs :].view(np.uint64)
+
+
+def _within(vocabulary: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the vocabulary of the hashes that are there, and the document of each."""
+    at = np.searchsorted(vocabulary, flat)
+    ok = at < len(vocabulary)
+    ok[ok] = vocabulary[at[ok]] == flat[ok]
+    return at[ok], np.repeat(np.arange(len(sizes)), sizes)[ok]
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = 2, percent: int = 80, coordinates: int = COORDINATES, least: int = LEAST, rounds: int = 3, centres: int = 3
+    docs: DataFrame, width: int = 2, percent: int = 80, coordinates: int = COORDINATES, least: int = LEAST, rounds: int = 2, centres: int = 3
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
@@ -159,10 +245,7 @@ def near_duplicates(
         placed = lists.join(found, "id", "left").select("token", "id", "n", F.coalesce("component_id", "id").alias("c"))
         mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
         placed = stored(placed.join(mixed, "token"), "minhash-mixed")
-    # what is left: every pair of different components under one token
-    right = placed.select("token", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"))
-    cross = placed.withColumnRenamed("id", "v").join(right, "token").where(f"u < v and c <> c_u and {fits}")
-    more = _confirm(counted(cross.select("u", "v")).select("u", "v"), texts, width, percent)
+    more = _compare_blocks(placed, texts, width, percent)
     links = stored(links.union(more), "minhash-links")
     found = connected_components(links)
 
