@@ -68,6 +68,17 @@ def test_graph_search_recall():
     assert sum(map(len, found)) >= 0.98 * there
 
 
+def test_links_of_a_group_over_many_shards(spark):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=32) + 0.15 * rng.normal(size=(6_000, 32))
+    x = np.concatenate([hot, rng.normal(size=(3_000, 32))])[rng.permutation(9_000)]
+    near = (embedding_graph.unit(x) @ embedding_graph.unit(x).T >= 0.95).sum(1) - 1
+    rows = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    out = embedding_graph.near_duplicates(rows).toPandas().set_index("vec_id").sort_index()
+    assert near.sum() > 30_000_000 and (out.n_links.to_numpy() == near).all()
+    assert out[near > 0].component_id.nunique() == 1 and out.kept.sum() == 1 + (near == 0).sum()
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(0)
     for letters in (1, 2, 5):

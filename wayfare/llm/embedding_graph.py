@@ -2,8 +2,10 @@
 
 Vectors are dealt to overlapping cluster shards; each shard builds a graph by greedy search and robust
 pruning, and the adjacency lists of a vector's shards are united. Range-expanding greedy search from
-a shard's medoid then gathers all vectors within the threshold of each query; every link is verified
-in double precision, and recall is audited against brute force on a bounded sample of queries."""
+a shard's medoid then gathers all vectors within the threshold of each query. Groups so large and tight
+that splitting may cut through them leave cores in their shards; all links of a core's vectors are
+found by exact comparison instead. Every link is verified in double precision, and recall is audited
+against brute force on bounded samples of queries, in cores and outside."""
 
 from __future__ import annotations
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from wayfare.llm.common import connected_components, short_batches, stored
 
 SHARD_ROWS, FAN_OUT, DEGREE, ALPHA = 4_000, 64, 24, 1.2
+#: A core: this many or more home vectors of one shard within this cosine of their pivot.
+CORE_ROWS, CORE_COSINE, BLOCK_ROWS = 64, 0.9, 4_000
 NOTHING = -2.0
 
 
@@ -188,18 +192,85 @@ def deal(vectors: DataFrame, overlap: int, shard_rows: int = SHARD_ROWS) -> Data
         state, level = stored(state.mapInPandas(split, state.schema), "shards"), level + 1
 
 
+def find_cores(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pivot, rows) of the cores of x, largest first by a sample of possible pivots; no row is in two."""
+    left, out = np.arange(len(x)), []
+    while len(left) >= CORE_ROWS:
+        tried = left[np.unique(np.linspace(0, len(left) - 1, 256).astype(int))]
+        close = x[tried] @ x[left].T >= CORE_COSINE
+        mean = x[left[close[close.sum(1).argmax()]]].mean(0)
+        pivot = mean / np.sqrt((mean * mean).sum())
+        own = left[x[left] @ pivot >= CORE_COSINE][:BLOCK_ROWS]
+        if len(own) < CORE_ROWS:
+            break
+        out.append((pivot, own))
+        left = np.setdiff1d(left, own)
+    return out
+
+
+def core_links(vectors: DataFrame, pivots: list, least: float) -> DataFrame:
+    """vectors(id, weight, embedding, core), pivots(core, pivot) -> (id, home, hot, n, root) with the
+    links of which one end or both are in a core. What links with a core's vector lies, by the triangle
+    inequality, within both angles of the pivot; those visitors are compared with the core in blocks."""
+    names, x = [r.core for r in pivots], np.array([r.pivot for r in pivots])
+    reach = np.cos(min(np.pi, np.arccos(least) + np.arccos(CORE_COSINE))) - 1e-9
+
+    def visit(batches):
+        for batch in batches:
+            if len(batch):
+                row, at = np.nonzero(unit(batch["embedding"]) @ x.T >= reach)
+                own = batch.iloc[row].copy()
+                own["pivot"] = [names[i] for i in at]
+                yield own
+
+    visits = stored(vectors.mapInPandas(visit, "id long, weight long, embedding array<double>, core string, pivot string"), "visits")
+    blocks = visits.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    visits = visits.join(F.broadcast(blocks), "pivot")
+    dealt = visits.select("*", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("inside"))
+    members = visits.where("core = pivot").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("inside"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        inside = group["inside"].to_numpy()
+        c, v = group[inside], group[~inside]
+        c_id, v_id, hot = c["id"].to_numpy(), v["id"].to_numpy(), v["core"].notna().to_numpy()
+        if not len(v):
+            return pd.DataFrame({"id": c_id, "home": True, "hot": True, "n": 0, "root": c_id})
+        hit = (unit(v["embedding"]) @ unit(c["embedding"]).T >= least) & (v_id[:, None] != c_id)
+        # a visitor in a core has its links counted with that core
+        n = np.concatenate([v["weight"].to_numpy() @ hit, np.where(hot, 0, hit @ c["weight"].to_numpy())])
+        top = np.iinfo(np.int64).max
+        c_root, v_root, before = c_id.copy(), v_id.copy(), None
+        while before is None or (c_root != before).any():
+            before = c_root.copy()
+            v_root = np.minimum(v_root, np.where(hit, c_root, top).min(1))
+            c_root = np.minimum(c_root, np.where(hit, v_root[:, None], top).min(0))
+        keep = np.concatenate([np.ones(len(c), bool), hit.any(1)])
+        out = {"id": np.concatenate([c_id, v_id]), "home": True, "hot": np.concatenate([np.ones(len(c), bool), hot]), "n": n, "root": np.concatenate([c_root, v_root])}
+        return pd.DataFrame(out)[keep]
+
+    return dealt.unionByName(members).groupBy("pivot", "block").applyInPandas(compare, "id long, home boolean, hot boolean, n long, root long")
+
+
 def search_links(vectors: DataFrame, least: float, overlap: int, width: int) -> DataFrame:
-    """vectors(id, weight, embedding) -> (id, n, root): for each vector the weight of those it links
-    with, and the smallest id that its shard's links lead to."""
+    """vectors(id, weight, embedding) -> (id, home, hot, n, root), one or more rows an id: the rows at
+    home add up to the weight of those it links with, hot says whether it is in a core, and root is
+    the smallest id that the links of one shard or block lead to."""
     dealt = deal(vectors, overlap)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
-        graph, ids = build_graph(unit(group["embedding"]), width), group["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "near": [ids[g[g >= 0]] for g in graph]})
-
-    lists = dealt.groupBy("shard").applyInPandas(build, "id long, near array<long>")
-    united = stored(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+        x, ids = unit(group["embedding"]), group["id"].to_numpy()
+        home, core, pivots = np.flatnonzero(group["home"].to_numpy()), [None] * len(ids), [None] * len(ids)
+        for k, (pivot, own) in enumerate(find_cores(x[home])):
+            pivots[home[own[0]]] = pivot
+            for i in home[own]:
+                core[i] = f"{group['shard'].iloc[0]}#{k}"
+        return pd.DataFrame({"id": ids, "near": [ids[g[g >= 0]] for g in build_graph(x, width)], "core": core, "pivot": pivots})
+
+    lists = dealt.groupBy("shard").applyInPandas(build, "id long, near array<long>, core string, pivot array<double>")
+    near = F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")
+    united = stored(lists.groupBy("id").agg(near, F.max("core").alias("core"), F.max("pivot").alias("pivot")), "graph")
+    pivots = united.where("pivot is not null").select("core", "pivot").collect()  # at most a row for CORE_ROWS vectors
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
@@ -212,8 +283,10 @@ def search_links(vectors: DataFrame, least: float, overlap: int, width: int) ->
         padded = np.full((len(ids), max(1, max(map(len, graph)))), -1)
         for i, near in enumerate(graph):
             padded[i, : len(near)] = near
-        queries = np.flatnonzero(group["home"].to_numpy())
-        found = range_search(x, graph, padded, queries, least, width)
+        hot = group["core"].notna().to_numpy()
+        home = np.flatnonzero(group["home"].to_numpy())
+        queries = home[~hot[home]]
+        found = [f[~hot[f]] for f in range_search(x, graph, padded, queries, least, width)]
         label, before = np.arange(len(ids)), None
         u = np.repeat(queries, [len(f) for f in found])
         v = np.concatenate(found) if len(u) else np.empty(0, int)
@@ -222,18 +295,22 @@ def search_links(vectors: DataFrame, least: float, overlap: int, width: int) ->
             np.minimum.at(label, u, label[v])
             np.minimum.at(label, v, label[u])
             label = label[label]
-        linked = np.unique(np.concatenate([queries, v]))
+        linked = np.unique(np.concatenate([home, v]))
         n = np.zeros(len(ids), np.int64)
         n[queries] = [weight[f].sum() for f in found]
-        return pd.DataFrame({"id": ids[linked], "home": group["home"].to_numpy()[linked], "n": n[linked], "root": ids[label[linked]]})
+        return pd.DataFrame({"id": ids[linked], "home": group["home"].to_numpy()[linked], "hot": hot[linked], "n": n[linked], "root": ids[label[linked]]})
 
-    joined = dealt.join(united, "id")
-    return stored(joined.groupBy("shard").applyInPandas(search, "id long, home boolean, n long, root long"), "links")
+    joined = dealt.join(united.drop("pivot"), "id")
+    links = joined.groupBy("shard").applyInPandas(search, "id long, home boolean, hot boolean, n long, root long")
+    if pivots:
+        links = links.union(core_links(vectors.join(united.select("id", "core"), "id"), pivots, least))
+    return stored(links, "links")
 
 
 def audit(vectors: DataFrame, found: DataFrame, least: float, queries: int) -> float:
-    """Links found over links there are, for `queries` vectors against all, by brute force."""
-    picked = vectors.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(queries).select("id", "embedding").toPandas()
+    """Links found over links there are, for `queries` vectors of those found(id, n) names against all,
+    by brute force."""
+    picked = vectors.join(found.select("id"), "id", "left_semi").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(queries).select("id", "embedding").toPandas()
     if not len(picked):
         return 1.0
     ids, q = picked["id"].to_numpy(), unit(picked["embedding"])
@@ -272,7 +349,8 @@ def near_duplicates(
         own, wide, more = named.where(F.size("embedding") == size), width, overlap
         for attempt in range(3):
             found = search_links(own, least, more, wide)
-            share = audit(own, found.where("home").select("id", "n"), least, audit_queries)
+            counts = found.where("home").groupBy("id").agg(F.sum("n").alias("n"), F.max("hot").alias("hot"))
+            share = min(audit(own, counts.where(part), least, audit_queries) for part in ("not hot", "hot"))
             if share >= recall:
                 break
             wide, more = 2 * wide, more + 1
@@ -286,7 +364,7 @@ def near_duplicates(
     for part in parts[1:]:
         found = found.union(part)
     roots = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    counts = found.where("home").select("id", "n")
+    counts = found.where("home").groupBy("id").agg(F.sum("n").alias("n"))
     known = classes.join(counts, "id", "left").join(roots, "id", "left").select(
         F.col("embedding"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("c"), F.lit(True).alias("fine")
     )
