@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontamination, embedding_graph, html_extract, packing, queries, suffix_dedup
+from wayfare.llm import chunk_dedup, decontamination, embedding_graph, html_extract, packing, queries, suffix_dedup
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -106,6 +106,44 @@ def test_suffix_dedup_against_all_strings(spark, texts):
         assert (out.n_removed[i], out.n_spans[i], out.kept_sha256[i]) == (gone.sum(), spans, hashlib.sha256(b[~gone].tobytes()).hexdigest())
 
 
+def test_chunk_dedup_against_planted_passages(spark):
+    rng = np.random.default_rng(11)
+
+    def words(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8))) for _ in range(n))
+
+    line = "this is one stray common line that any document may well have in it"
+    texts = {}
+    for i in range(120):
+        passage = words(51)
+        texts[i], texts[1000 + i] = (f"{words(40)} {passage} {words(40)}" for _ in range(2))
+    texts |= {2000 + i: f"{words(30)}\n{line}\n{words(30)}" for i in range(40)} | {3000: "a short text", 3001: "a short text", 3002: "ends in a short text"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in chunk_dedup.remove_repeats(rows).collect()}
+    first, chunks, grams = {}, {}, {}
+    for i in sorted(texts):
+        data, at = texts[i].encode(), 0
+        chunks[i] = []
+        for end in chunk_dedup.cut_points(data):
+            chunks[i].append((at, end, first.setdefault(data[at:end], i) < i))
+            at = end
+        for p in range(len(w := texts[i].split(" ")) - 49):
+            grams.setdefault(" ".join(w[p : p + 50]), i)
+    for i, t in texts.items():
+        runs, inside = [], np.zeros(len(t) + 1, bool)
+        for p in range(len(w := t.split(" ")) - 49):
+            if grams[g := " ".join(w[p : p + 50])] < i:
+                inside[t.index(g) : t.index(g) + len(g)] = True
+        for a, b, again in chunks[i]:
+            if again and runs and runs[-1][1] == a:
+                runs[-1] = (runs[-1][0], b)
+            elif again:
+                runs.append((a, b))
+        want = [(a, b) for a, b in runs if b - a >= 128 or inside[a:b].any()]
+        assert [(r.start, r.end) for r in out[i].removed] == ([(0, len(t))] if i == 3001 else want), i
+    assert sum(bool(out[1000 + i].removed) for i in range(120)) > 110 and not any(out[2000 + i].removed for i in range(40))
+
+
 def test_leaks_against_shingles(spark, texts):
     items = {r.item_id: decontamination.question_and_answer(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     sets = {i: decontamination.shingles(q) | decontamination.shingles(a) for i, (q, a) in items.items()}

@@ -4,7 +4,8 @@ deduplicated by digest."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm.common import fresh, short_batches, stored, text_or_empty
 
+PASSAGE_WORDS = 50
 GEAR = np.random.default_rng(1729).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -72,12 +74,47 @@ def chunks(docs: DataFrame, key: str) -> DataFrame:
     return named.mapInPandas(cut, f"a long, b long, doc_id long, `{key}` long, start int, size int")
 
 
+def passages(data: bytes, words: list[tuple[int, int]], start: int, end: int) -> list[int]:
+    """Names of the passages of PASSAGE_WORDS words with the chunk from start to end in or next to them;
+    equal names of one chunk mean equal bytes from the passage to the chunk, both included."""
+    first, last = bisect_left(words, (start, 0)), bisect_right(words, end, key=lambda w: w[1]) - 1
+    out = []
+    for i in range(max(0, min(first, last + 1 - PASSAGE_WORDS)), min(first, len(words) - PASSAGE_WORDS) + 1):
+        low, high = min(start, words[i][0]), max(end, words[i + PASSAGE_WORDS - 1][1])
+        out.append(xxhash.xxh3_64_intdigest(data[low:high], start - low) - (1 << 63))
+    return out
+
+
+def in_passages(rows: DataFrame, copies: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """(key, start): the chunks of runs(key, start, end) that lie in a passage of PASSAGE_WORDS words or
+    more which a document with a smaller id has too. copies: every chunk that two documents share."""
+    run = runs.select(F.col(key), F.col("start").alias("low"), "end")
+    asked = copies.join(run, key).where("start >= low and start < end").select("a", "b").distinct()
+    places = copies.join(asked, ["a", "b"], "left_semi").groupBy(key, "doc_id").agg(F.collect_set(F.struct("start", "size")).alias("places"))
+    texts = rows.select(key, "text").join(places, key)
+
+    def name(batches):
+        for batch in batches:
+            out = []
+            for k, doc, text, own in zip(batch[key], batch["doc_id"], batch["text"], batch["places"], strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                words = [m.span() for m in re.finditer(rb"\S+", data)]
+                out += [(n, k, doc, p["start"]) for p in own for n in passages(data, words, p["start"], p["start"] + p["size"])]
+            if out:
+                yield pd.DataFrame(out, columns=["name", key, "doc_id", "start"])
+
+    named = stored(texts.mapInPandas(name, f"name long, `{key}` long, doc_id long, start int"), "passages")
+    shared = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return named.join(shared.drop("last"), "name").where("doc_id > first").select(key, "start").distinct()
+
+
 def remove_repeats(docs: DataFrame, least_run: int = 128) -> DataFrame:
     """docs with n_bytes, removed (array of (start, end) in bytes), first_doc_ids and kept_text.
 
     A chunk is a repeat if a document with a smaller id has one of the same digest. Adjacent repeats
-    form runs; runs of at least least_run bytes are removed, shorter ones (a stray common line) stay.
-    Repeats within one document stay too. Rows with a null id are neither removed from nor a source;
+    form runs; runs of at least least_run bytes are removed. Of shorter ones those go that are in a
+    passage of PASSAGE_WORDS words which a smaller id has, byte by byte; others (a stray common line)
+    stay. Documents of less than least_run bytes that equal one with a smaller id go whole. Repeats within one document stay too. Rows with a null id are neither removed from nor a source;
     null and empty texts have no chunks; rows alike in id and text give the same result. Extra
     columns are kept, those of the names above replaced. Empty tables give no rows."""
     short_batches(docs.sparkSession)
@@ -86,7 +123,8 @@ def remove_repeats(docs: DataFrame, least_run: int = 128) -> DataFrame:
     rows = docs.withColumn(key, F.xxhash64("doc_id", text_or_empty()))
     cut = stored(chunks(rows, key), "chunks")
     shared = cut.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    repeats = cut.join(shared.drop("last"), ["a", "b"]).where("doc_id > first").select(key, "start", "size", "first").distinct()
+    copies = stored(cut.join(shared.drop("last"), ["a", "b"]), "chunk-copies")
+    repeats = copies.where("doc_id > first").select(key, "start", "size", "first").distinct()
     run_type = "array<struct<start:int,end:int,sources:array<bigint>>>"
 
     def join_up(acc, c):
@@ -102,8 +140,16 @@ def remove_repeats(docs: DataFrame, least_run: int = 128) -> DataFrame:
         )
 
     ordered = repeats.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "size", "first"))).alias(spans))
-    runs = F.filter(F.aggregate(spans, F.array().cast(run_type), join_up), lambda r: r["end"] - r["start"] >= least_run)
-    found = ordered.select(key, runs.alias(spans)).where(F.size(spans) > 0)
+    runs = stored(ordered.select(key, F.explode(F.aggregate(spans, F.array().cast(run_type), join_up)).alias("run")).select(key, "run.*"), "chunk-runs")
+    length = F.octet_length(text_or_empty())
+    small = rows.where(length.between(1, least_run - 1) & F.col("doc_id").isNotNull()).select(key, F.col("doc_id").cast("long").alias("doc_id"), "text", length.alias("end"))
+    before = small.groupBy("text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    whole = small.join(before, "text").where("doc_id > first").select(key, F.lit(0).alias("start"), "end", F.array("first").alias("sources")).distinct()
+    short = runs.where(F.col("end") - F.col("start") < least_run)
+    proved = in_passages(rows, copies, short, key).withColumnRenamed("start", "at")
+    proved = short.join(proved, key).where("at >= start and at < end").select(short.columns).distinct()
+    taken = runs.where(F.col("end") - F.col("start") >= least_run).union(proved.join(whole.select(key), key, "left_anti")).union(whole)
+    found = taken.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "sources"))).cast(run_type).alias(spans))
     joined = rows.join(found, key, "left")
 
     @F.pandas_udf("string")
