@@ -53,6 +53,15 @@ def test_a_failed_gate_leaves_the_warehouse_untouched(spark, tmp_path, capsys):
     assert "measurable_share" in capsys.readouterr().out
 
 
+def test_a_partial_last_day_is_not_published(spark, tmp_path, capsys):
+    lines, days = messages(20)[:-2], ["2026-09-04", "2026-09-05", "2026-09-06", "2026-09-08"]
+    lines = [m.replace("2026-09-08", "2026-09-07").replace("2026-09-07", d).replace('": "e', f'": "{d}e').replace('"T-', f'"{d}T-') for d in days for m in lines[: 60 if d != days[-1] else 12]]
+    run = runner.Run(spark, str(tmp_path / "lake"), "b1", AS_OF)
+    with pytest.raises(QualityGateFailed):
+        run.all(write(tmp_path / "in", lines))
+    assert not run.warehouse.exists("fct_trip") and "- volume_band: observed 4, expected 20" in capsys.readouterr().out
+
+
 def test_bronze_parts_and_silver_days(spark, tmp_path):
     root = str(tmp_path / "bronze")
     raw = spark.createDataFrame([(m,) for m in messages(3)], "value string").withColumn("ingested_at", F.lit(AS_OF).cast("timestamp"))

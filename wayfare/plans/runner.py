@@ -85,7 +85,7 @@ class Run:
             gates.row_conservation(facts, joined, "fct_trip_dim_driver"),
             gates.foreign_key(facts, "driver_id", drivers, "driver_id"),
             gates.foreign_key(facts, "store_id", stores, "store_id"),
-            gates.volume_band(daily, last, tolerance=0.9),
+            gates.volume_band(daily, last),
             gates.measurable_share(facts, trips.measurable(facts), self.min_measurable),
         )
         self._judge("gold", report)
