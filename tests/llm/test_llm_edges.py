@@ -76,6 +76,15 @@ def test_embeddings(spark):
     assert embedding_graph.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["<svg class=i />", "<math/>", "<svg>", "<iframe src=x>", "<button>"])
+def test_skipped_elements_without_an_end(tag):
+    page = f"<main><h1>T</h1>{tag}<p>one two three</p></main>"
+    assert html_extract.main_text(page) == "T\none two three"
+    if tag.endswith("/>"):
+        assert html_extract.main_text(page + "<svg><text>x</text></svg>") == "T\none two three"
+    assert html_extract.main_text("<main><p>a b</p><script>var x</main><p>y") == "a b"
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<nav>x"), (4, None, "<article><p>A &amp; B<p>c</article><footer>f</footer>"), (4, None, "<article><p>A &amp; B<p>c</article><footer>f</footer>"), (5, "u", "<!-- open")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -20,6 +20,8 @@ from wayfare.llm.common import short_batches
 
 #: HTML element names and the words that name boilerplate in class, id and role.
 SKIPPED = "script style noscript template title textarea select option button svg iframe object audio video canvas math".split()
+#: Of those, the ones that a /> closes, and the ones that a missing end tag leaves open to the end of the page.
+FOREIGN, TO_THE_END = {"svg", "math"}, {"script", "style", "title", "textarea"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -97,8 +99,11 @@ def blocks(html: str | None) -> list[Block]:
             continue
         name, closing = named[1].lower(), tag[1] == "/"
         if name in SKIP_END and not closing:
-            end = SKIP_END[name].search(html, at)
-            at = end.start() if end else len(html)
+            end = None if name in FOREIGN and tag.endswith("/>") else SKIP_END[name].search(html, at)
+            if end:
+                at = end.start()
+            elif name in TO_THE_END:
+                at = len(html)
             continue
         if name == "a":
             depth_a = 0 if closing else 1
