@@ -85,6 +85,16 @@ def test_skipped_elements_without_an_end(tag):
     assert html_extract.main_text("<main><p>a b</p><script>var x</main><p>y") == "a b"
 
 
+def test_private_keys_are_masked_whole(spark):
+    body = "\n".join("MIIEowIBAAKCAQEA" + "aB3/+" * 9 + str(i) for i in range(400))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    crypt = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    texts = [f"a {head}\n{body}\n{end} z", f"a {head}\n{crypt}{body}\nab==\n{end} z", f"a {head} {body.replace(chr(10), ' ')} {end} z", f"a {head}\n{body}\nab==\n\nz", f"a {head}\\n{body}\\n{end} z", f"a {head} z", f"a {head}\n{crypt}{body}\n\nz {head}\n{body}\n{end}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text.split() for r in secrets.redact_secrets(df).orderBy("doc_id").collect()]
+    assert out == [["a", "[REDACTED]", "z"]] * 6 + [["a", "[REDACTED]", "z", "[REDACTED]"]]
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<nav>x"), (4, None, "<article><p>A &amp; B<p>c</article><footer>f</footer>"), (4, None, "<article><p>A &amp; B<p>c</article><footer>f</footer>"), (5, "u", "<!-- open")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -7,7 +7,7 @@ of hex digits, scans all texts."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,13 @@ RULES = (
 )
 
 
+#: The rules for masking: pem reaches over the body of the key to its END line, or without one to the end of the base64 lines.
+_GAP = r"(?:\s|\\[rn])*+"
+_PEM_END = r"[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_PEM_LINES = rf"(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)*+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/=]++(?=[ \t]*+(?:[\r\n]|\z)))*+"
+MASKED = tuple(replace(rule, pattern=f"{rule.pattern}(?:{_PEM_END}|{_PEM_LINES})") if rule.kind == "pem" else rule for rule in RULES)
+
+
 def trigram_query(rule: Rule) -> list[list[str]]:
     """Disjunction of conjunctions of trigrams; an empty list means a full scan."""
     return [sorted({lit[i : i + 3] for lit in branch for i in range(len(lit) - 2)}) for branch in rule.branches]
@@ -150,7 +157,7 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact_secrets(docs: DataFrame, rules=RULES, mask: str = "[REDACTED]") -> DataFrame:
+def redact_secrets(docs: DataFrame, rules=MASKED, mask: str = "[REDACTED]") -> DataFrame:
     """docs with every span replaced by mask (overlapping spans by one) and n_chars recounted."""
     scanned = scan_secrets(docs, rules)
     text = text_or_empty()
