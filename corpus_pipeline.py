@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import decontamination, minhash, packing, secrets, toxicity
-from wayfare.llm.common import fresh, ship, short_batches, stored
+from wayfare.llm.common import fresh, ship, short_batches, stored, text_or_empty
 from wayfare.llm.queries import tokenizer_path
 
 
@@ -22,12 +22,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word shingles at 0.8."""
+    """The document with the smallest id of each group linked by five-word shingles at 0.8. Rows without
+    an id, and further texts of one id, are documents of their own that come after all others; rows
+    alike in id and text are one. Blank rows without an id link with nothing and stay."""
     ship(spark)
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), width=5)
-    gone = fresh(docs, "gone_id")[0]
-    lost = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(lost, docs["doc_id"] == lost[gone], "left_anti")
+    key, salt, again, low, gone = fresh(docs, "row_key", "row_salt", "again_id", "low_text", "gone_key")
+    text = F.xxhash64(text_or_empty())
+    texts = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(again)).agg(F.min(text).alias(low), F.max(text).alias("high"))
+    mixed = stored(texts.where(F.col(low) < F.col("high")).select(again, low), "mixed-ids")
+    named = F.col("doc_id").isNotNull() & (F.col(low).isNull() | (text == F.col(low)))
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", text_or_empty()), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.join(mixed, F.col("doc_id") == F.col(again), "left").withColumn(key, F.when(named, F.col("doc_id").cast("long")).otherwise(other))
+    found = minhash.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), width=5)
+    lost = found.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    blank = F.col("doc_id").isNull() & text_or_empty().rlike(r"^[\x20\x09-\x0D]*\z")
+    left = keyed.join(lost, F.col(key) == F.col(gone), "left_anti").withColumn(salt, F.when(blank, F.monotonically_increasing_id()))
+    return left.dropDuplicates([key, salt]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,21 @@ def test_private_keys_are_masked_whole(spark):
     assert out == [["a", "[REDACTED]", "z"]] * 6 + [["a", "[REDACTED]", "z", "[REDACTED]"]]
 
 
+def test_near_copies_leave_one_row(spark):
+    import corpus_pipeline
+
+    t, u, a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuab")
+    rows = [(1, t), (1, t), (2, t), (None, t), (None, u), (None, u), (None, ""), (None, None), (3, a), (3, b), (4, b + " end"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("clash"))
+    out = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert out.columns == df.columns
+    left = sorted(map(str, ((r.doc_id, r.text) for r in out.collect())))
+    lost = [r for r in left if r.startswith("(4")]
+    want = [(1, t), (None, u), (None, ""), (None, None), (3, a), (3, b), (5, ""), (6, None)]
+    first = [(1, t), (None, u), (None, ""), (None, None), (3, a), (4, b + " end"), (5, ""), (6, None)]
+    assert left == sorted(map(str, first if lost else want))
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<nav>x"), (4, None, "<article><p>A &amp; B<p>c</article><footer>f</footer>"), (4, None, "<article><p>A &amp; B<p>c</article><footer>f</footer>"), (5, "u", "<!-- open")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
