@@ -111,6 +111,13 @@ def ts_reject_lenient(spark, sf) -> DataFrame:
     return e.select(F.col("event_id").alias("event_no"), contract.parse_timestamp(odd).isNotNull().alias("parsed"))
 
 
+@query("""select event_id as event_no, false as parsed from events""")
+def ts_reject_lenient_all(spark, sf) -> DataFrame:
+    """The same over every row of events."""
+    odd = F.element_at(F.array(*map(F.lit, ["2026", "12:30:00", "last tuesday", "", "20-26-01", "17875622"])), (F.col("event_id") % 6 + 1).cast("int"))
+    return adapters.table(spark, sf, "events").select(F.col("event_id").alias("event_no"), contract.parse_timestamp(odd).isNotNull().alias("parsed"))
+
+
 @query("""select event_id, case event_id % 5 when 0 then trunc(value)::bigint when 1 then null when 2 then null when 3 then trunc(value)::bigint else null end as as_int,
   case event_id % 5 when 0 then value when 2 then null when 3 then value when 4 then 'inf'::double end as as_float from events""")
 def coerce_numeric(spark, sf) -> DataFrame:
