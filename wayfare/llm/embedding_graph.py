@@ -2,7 +2,7 @@
 
 Vectors are dealt to overlapping cluster shards; each shard builds a graph by greedy search and robust
 pruning, and the adjacency lists of a vector's shards are united. Range-expanding greedy search from
-a shard's medoid then gathers all vectors within the threshold of each query. Groups so large and tight
+the medoid of each of its shards then gathers all vectors within the threshold of a query. Groups so large and tight
 that splitting may cut through them leave cores in their shards; all links of a core's vectors are
 found by exact comparison instead. Every link is verified in double precision, and recall is audited
 against brute force on bounded samples of queries, in cores and outside."""
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import connected_components, short_batches, stored
+from wayfare.llm.common import connected_components, forget, join_hot, short_batches, stored
 
 SHARD_ROWS, FAN_OUT, DEGREE, ALPHA = 4_000, 64, 24, 1.2
 #: A core: this many or more home vectors of one shard within this cosine of their pivot.
@@ -157,39 +157,70 @@ def _centres(sample: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     return centres
 
 
+#: Rows of an oversized shard that one task deals, levels that are split by centres, and rows its centres are fitted on.
+DEALT_ROWS, CENTRE_LEVELS, SAMPLE_ROWS = 50_000, 8, 32 * FAN_OUT
+
+
 def deal(vectors: DataFrame, overlap: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vectors(id, weight, embedding) once for each shard they are in: plus shard and home (whether it
-    is their nearest). Shards over shard_rows are split again, by at most FAN_OUT centres fitted on at
-    most 32 * FAN_OUT of their rows; the driver sees those samples and the shard sizes alone."""
+    is their nearest). Shards over shard_rows are split again, by at most FAN_OUT centres fitted on a
+    hash sample of about SAMPLE_ROWS of their rows. Centres are fitted by executors and sent, ahead of the rows,
+    to each of the tasks that a shard is dealt by; the driver sees nothing. What CENTRE_LEVELS splits
+    leave oversized is so tight that cores find its links, and is split by hash."""
     state, level = stored(vectors.withColumns({"shard": F.lit(""), "home": F.lit(True)}), "shards"), 0
+    columns, schema = state.columns, state.schema
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        size = group["size"].iloc[0]
+        group = group.sort_values("id")
+        k = int(min(FAN_OUT, len(group), max(2, -(-2 * overlap * size // shard_rows))))
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "centres": [_centres(unit(group["embedding"]), k).ravel()]})
+
     while True:
-        counts = {r.shard: r.n for r in state.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).collect()}
-        if not counts or level == 6:
+        sizes = stored(state.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows), "shard-sizes")
+        if sizes.isEmpty():
             return state
-        place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("id"), "id"))
-        big = state.where(F.col("shard").isin(list(counts)))
-        sample = big.withColumn("place", place).where(F.col("place") <= 32 * FAN_OUT).select("shard", "embedding").toPandas()
-        centres = {}
-        for name, own in sample.groupby("shard"):
-            k = int(min(FAN_OUT, len(own), max(2, -(-2 * overlap * counts[name] // shard_rows))))
-            centres[name] = _centres(unit(own["embedding"]), k)
-
-        def split(batches, centres=centres, level=level):
-            for batch in batches:
-                for name, own in batch.groupby("shard"):
-                    if name not in centres:
-                        yield own
-                        continue
-                    c = centres[name]
-                    take = min(overlap if level == 0 else 2, len(c))
-                    nearest = np.argsort(-(unit(own["embedding"]) @ c.T), axis=1, kind="stable")[:, :take]
-                    for rank in range(take):
-                        part = own.copy()
-                        part["shard"] = [f"{name}/{i}" for i in nearest[:, rank]]
-                        part["home"] = own["home"] & (rank == 0)
-                        yield part
-
-        state, level = stored(state.mapInPandas(split, state.schema), "shards"), level + 1
+        big = state.join(sizes, "shard")
+        if level >= CENTRE_LEVELS:
+            piece = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / shard_rows)).cast("string")
+            parted = big.withColumn("shard", F.concat("shard", F.lit("/"), piece)).select(columns)
+        else:
+            drawn = F.pmod(F.xxhash64("id", F.lit(level)), "size") < SAMPLE_ROWS
+            centres = stored(big.where(drawn).groupBy("shard").applyInPandas(fit, "shard string, centres array<double>"), "centres")
+            tasks = F.ceil(F.col("size") / DEALT_ROWS)
+            ahead = centres.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("task"), F.col("centres").alias("embedding"), F.lit(0).alias("kind"))
+            rows = big.withColumns({"task": F.pmod(F.xxhash64("id"), tasks), "kind": F.lit(1)}).drop("size")
+            sent = rows.unionByName(ahead, allowMissingColumns=True).repartition("shard", "task").sortWithinPartitions("shard", "task", "kind")
+            parted = sent.mapInPandas(_splitter(overlap if level == 0 else 2, columns), schema)
+        before, state, level = state, stored(state.join(sizes, "shard", "left_anti").select(columns).union(parted), "shards"), level + 1
+        forget(before, sizes)
+
+
+def _splitter(most: int, columns: list[str]):
+    """Deals rows to the `most` nearest of the centres that come before them in the partition."""
+
+    def split(batches):
+        shard, centres = None, None
+        for batch in batches:
+            cuts = np.flatnonzero((batch["kind"] == 0).to_numpy())
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                own = batch.iloc[lo:hi]
+                if len(own) and own["kind"].iloc[0] == 0:
+                    shard, flat, own = own["shard"].iloc[0], own["embedding"].iloc[0], own.iloc[1:]
+                    centres = np.asarray(flat, float)
+                if not len(own):
+                    continue
+                x = unit(own["embedding"])
+                c = centres.reshape(-1, x.shape[1])
+                take = min(most, len(c))
+                nearest = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :take]
+                for rank in range(take):
+                    part = own[columns].copy()
+                    part["shard"] = [f"{shard}/{i}" for i in nearest[:, rank]]
+                    part["home"] = own["home"].astype(bool) & (rank == 0)
+                    yield part.astype({"id": "int64", "weight": "int64"})
+
+    return split
 
 
 def find_cores(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -251,10 +282,10 @@ def core_links(vectors: DataFrame, pivots: list, least: float) -> DataFrame:
     return dealt.unionByName(members).groupBy("pivot", "block").applyInPandas(compare, "id long, home boolean, hot boolean, n long, root long")
 
 
-def search_links(vectors: DataFrame, least: float, overlap: int, width: int) -> DataFrame:
-    """vectors(id, weight, embedding) -> (id, home, hot, n, root), one or more rows an id: the rows at
-    home add up to the weight of those it links with, hot says whether it is in a core, and root is
-    the smallest id that the links of one shard or block lead to."""
+def search_links(vectors: DataFrame, least: float, overlap: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """vectors(id, weight, embedding) -> counts(id, hot, n): the weight of those an id links with, and
+    whether it is in a core; and edges(u, v) that span the links. Every vector is searched for in all
+    of its shards, and a link found from either end counts at both."""
     dealt = deal(vectors, overlap)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -284,33 +315,32 @@ def search_links(vectors: DataFrame, least: float, overlap: int, width: int) ->
         for i, near in enumerate(graph):
             padded[i, : len(near)] = near
         hot = group["core"].notna().to_numpy()
-        home = np.flatnonzero(group["home"].to_numpy())
-        queries = home[~hot[home]]
+        queries = np.flatnonzero(~hot)
         found = [f[~hot[f]] for f in range_search(x, graph, padded, queries, least, width)]
-        label, before = np.arange(len(ids)), None
         u = np.repeat(queries, [len(f) for f in found])
         v = np.concatenate(found) if len(u) else np.empty(0, int)
-        while before is None or (label != before).any():  # smallest label over the links, to a fixed point
-            before = label.copy()
-            np.minimum.at(label, u, label[v])
-            np.minimum.at(label, v, label[u])
-            label = label[label]
-        linked = np.unique(np.concatenate([home, v]))
-        n = np.zeros(len(ids), np.int64)
-        n[queries] = [weight[f].sum() for f in found]
-        return pd.DataFrame({"id": ids[linked], "home": group["home"].to_numpy()[linked], "hot": hot[linked], "n": n[linked], "root": ids[label[linked]]})
+        low, high = np.divmod(np.unique(np.minimum(u, v) * np.int64(len(ids)) + np.maximum(u, v)), len(ids))
+        return pd.DataFrame({"u": ids[low], "v": ids[high], "weight_u": weight[low], "weight_v": weight[high]})
 
     joined = dealt.join(united.drop("pivot"), "id")
-    links = joined.groupBy("shard").applyInPandas(search, "id long, home boolean, hot boolean, n long, root long")
+    pairs = joined.groupBy("shard").applyInPandas(search, "u long, v long, weight_u long, weight_v long").distinct()
+    pairs = stored(pairs, "links")
+    counted = pairs.select(F.col("u").alias("id"), F.col("weight_v").alias("n")).union(pairs.select("v", "weight_u"))
+    edges = pairs.select("u", "v")
     if pivots:
-        links = links.union(core_links(vectors.join(united.select("id", "core"), "id"), pivots, least))
-    return stored(links, "links")
+        cored = stored(core_links(vectors.join(united.select("id", "core"), "id"), pivots, least), "core-links")
+        counted, edges = counted.union(cored.select("id", "n")), edges.union(cored.select("id", "root"))
+    counted = counted.groupBy("id").agg(F.sum("n").alias("n"))
+    every = united.select("id", F.col("core").isNotNull().alias("hot")).join(counted, "id", "left")
+    return stored(every.withColumn("n", F.coalesce("n", F.lit(0))), "link-counts"), edges
 
 
 def audit(vectors: DataFrame, found: DataFrame, least: float, queries: int) -> float:
-    """Links found over links there are, for `queries` vectors of those found(id, n) names against all,
-    by brute force."""
-    picked = vectors.join(found.select("id"), "id", "left_semi").orderBy(F.xxhash64("id", F.lit(9)), "id").limit(queries).select("id", "embedding").toPandas()
+    """Links found over links there are, by brute force against all vectors for up to `queries` of those
+    that found(id, n) names, and as many again of those with links."""
+    drawn = F.xxhash64("id", F.lit(9))
+    some = found.orderBy(drawn, "id").limit(queries).union(found.where("n > 0").orderBy(drawn, "id").limit(queries)).select("id").distinct()
+    picked = vectors.join(F.broadcast(some), "id", "left_semi").select("id", "embedding").toPandas()
     if not len(picked):
         return 1.0
     ids, q = picked["id"].to_numpy(), unit(picked["embedding"])
@@ -318,8 +348,9 @@ def audit(vectors: DataFrame, found: DataFrame, least: float, queries: int) -> f
     def count(batches):
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            hit = (unit(batch["embedding"]) @ q.T >= least) & (batch["id"].to_numpy()[:, None] != ids)
-            total += (hit * batch["weight"].to_numpy()[:, None]).sum(0)
+            if len(batch):
+                hit = (unit(batch["embedding"]) @ q.T >= least) & (batch["id"].to_numpy()[:, None] != ids)
+                total += (hit * batch["weight"].to_numpy()[:, None]).sum(0)
         yield pd.DataFrame({"id": ids, "there": total})
 
     there = vectors.mapInPandas(count, "id long, there long").groupBy("id").agg(F.sum("there").alias("there"))
@@ -348,31 +379,30 @@ def near_duplicates(
     for (size,) in named.select(F.size("embedding")).distinct().collect():
         own, wide, more = named.where(F.size("embedding") == size), width, overlap
         for attempt in range(3):
-            found = search_links(own, least, more, wide)
-            counts = found.where("home").groupBy("id").agg(F.sum("n").alias("n"), F.max("hot").alias("hot"))
+            counts, edges = search_links(own, least, more, wide)
             share = min(audit(own, counts.where(part), least, audit_queries) for part in ("not hot", "hot"))
             if share >= recall:
                 break
             wide, more = 2 * wide, more + 1
         if share < 0.9:
             raise RuntimeError(f"audited recall is {share:.3f}")
-        parts.append(found)
+        parts.append((counts, edges))
     if not parts:
         nothing = F.lit(0).cast("long").alias("n_links")
         return rows.select("vec_id", nothing, F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    roots = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    counts = found.where("home").groupBy("id").agg(F.sum("n").alias("n"))
-    known = classes.join(counts, "id", "left").join(roots, "id", "left").select(
-        F.col("embedding"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("c"), F.lit(True).alias("fine")
+    counts, edges = parts[0]
+    for more_counts, more_edges in parts[1:]:
+        counts, edges = counts.union(more_counts), edges.union(more_edges)
+    roots = connected_components(edges)
+    known = classes.join(counts.drop("hot"), "id", "left").join(roots, "id", "left").select(
+        "embedding", "weight", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("c")
     )
-    out = rows.join(known, ["fine", "embedding"], "left")
-    component = F.when(F.col("fine"), F.col("c")).otherwise(F.col("vec_id"))
+    fine = rows.where("fine")
+    out = join_hot(fine.select("vec_id", "embedding"), known, ["embedding"], "weight", fine.count()).select("vec_id", "n_links", "c")
+    out = out.union(rows.where("not fine").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.when(F.col("vec_id").isNull(), component.isNull()).otherwise(F.col("vec_id") == component).alias("kept"),
+        F.col("c").alias("component_id"),
+        F.when(F.col("vec_id").isNull(), F.col("c").isNull()).otherwise(F.col("vec_id") == F.col("c")).alias("kept"),
     )
