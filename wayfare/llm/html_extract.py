@@ -2,7 +2,8 @@
 
 A page is read as a flat run of text blocks, each with its number of words, its link density, those
 of its neighbours, and whether an article or a boilerplate container is open around it. A decision
-tree, trained on a small labelled table, tells content from the rest."""
+tree, trained on the blocks of a small table of labelled markup, tells content from the rest: what
+lies in a boilerplate container is never content, the rest is judged by words and link density."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ BOILER_WORDS = set(
     "overlay pagination pager popup promo promotion related replies reply search share sharing sidebar signup site-header social sponsor sponsored subscribe "
     "subscription toolbar topbar widget widgets".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"<]*+(?:<[^\"]{0,2000}+)?\"|'[^'<]*+(?:<[^']{0,2000}+)?')*+(?:>|$)|</?[a-zA-Z][^<>]*(?:>|(?=<)|$)|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\s(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>])", re.I)
 SKIP_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in SKIPPED}
@@ -47,6 +49,17 @@ class Block:
     linked: int
     article: bool
     boiler: bool
+    heading: bool
+
+
+def _closes(html: str, at: int, name: str) -> bool:
+    """Whether the element of this name that is open at this place has an end tag of its own."""
+    depth = 0
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])", html[at:], re.I):
+        depth += -1 if m[1] else 1
+        if depth < 0:
+            return True
+    return False
 
 
 def _is_boiler(tag: str, name: str, in_article: bool) -> bool:
@@ -64,11 +77,12 @@ def _is_boiler(tag: str, name: str, in_article: bool) -> bool:
 
 
 def blocks(html: str | None) -> list[Block]:
-    """The page's non-empty text blocks in order. Broken markup is read as far as it goes: an element
-    that is never closed ends with the page or where an article begins."""
+    """The page's non-empty text blocks in order. Broken markup is read as far as it goes: a boilerplate
+    element that is never closed ends with the page or where an article begins. An attribute's quotes
+    may be missing their end: the tag ends at its > then."""
     html, out, stack = html or "", [], []  # stack of (name, article, boiler)
     parts: list[str] = []
-    linked, depth_a = 0, 0
+    linked, depth_a, heading = 0, 0, False
 
     def words_of(text: str) -> int:
         return len(text.split())
@@ -77,7 +91,7 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, words_of(text), min(linked, words_of(text)), any(s[1] for s in stack), any(s[2] for s in stack)))
+            out.append(Block(text, words_of(text), min(linked, words_of(text)), any(s[1] for s in stack), any(s[2] for s in stack), heading))
         parts.clear()
         linked = 0
 
@@ -111,6 +125,7 @@ def blocks(html: str | None) -> list[Block]:
             parts.append(" ")
         if name in BLOCKS:
             flush()
+            heading = not closing and re.fullmatch("h[1-6]", name) is not None
         if name in CONTAINERS and not tag.endswith("/>"):
             if closing:
                 for i in range(len(stack) - 1, -1, -1):
@@ -119,8 +134,8 @@ def blocks(html: str | None) -> list[Block]:
                         break
             else:
                 main = name in ("article", "main")
-                if main:
-                    stack = [(n, a, False) for n, a, b in stack]
+                if main and any(b for _, _, b in stack):
+                    stack = [(n, a, b and _closes(html, at, n)) for n, a, b in stack]
                 if name in ("p", "li"):  # an open one ends here
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == name:
@@ -135,105 +150,149 @@ def blocks(html: str | None) -> list[Block]:
     return out
 
 
-#: The labelled table, one block to a line: words, link density, then both for the block before and
-#: the block after, whether an article is open (-1: only elsewhere on the page), whether a boilerplate
-#: container is open, and whether it is content.
+#: The labelled table: pages apart by blank lines, + or - (content or not) before each piece of markup, and #n for n words.
 LABELLED = """
- 6 1.00  0 0.00  1 1.00 0 1 0
- 1 1.00  0 0.00  1 1.00 0 1 0
- 1 1.00  1 1.00  1 1.00 0 1 0
- 2 1.00  2 1.00  9 0.00 0 1 0
- 8 0.00  1 1.00 10 0.00 0 1 0
-12 0.00  1 1.00 60 0.00 0 1 0
-45 0.05  8 0.00 50 0.00 0 1 0
-30 0.00 40 0.00  0 0.00 0 1 0
- 9 0.10 70 0.00  0 0.00 0 1 0
-14 0.20 30 0.00  0 0.00 0 1 0
- 4 0.00 55 0.00  3 0.00 0 1 0
- 3 0.60 90 0.00  5 0.40 0 1 0
-10 0.00  8 0.00 70 0.00 1 0 1
- 9 0.00 12 0.00 40 0.00 1 0 1
- 1 0.00 60 0.00 90 0.00 1 0 1
- 2 0.00 10 0.00 55 0.00 1 0 1
-75 0.00  9 0.00 80 0.00 1 0 1
-60 0.02 75 0.00  2 0.00 1 0 1
-140 0.0 60 0.00 35 0.10 1 0 1
-35 0.40 80 0.00 65 0.00 1 0 1
- 5 1.00 80 0.00 65 0.00 1 0 1
- 4 0.00 80 0.00 14 0.20 1 0 1
- 1 0.00  1 0.00  9 0.10 1 0 1
-25 0.00 90 0.00 30 0.00 1 1 0
- 6 0.00 90 0.00 85 0.00 1 1 0
-50 0.00 60 0.00 45 0.00 1 1 0
-12 1.00 75 0.00 20 0.00 1 1 0
-80 0.00 70 0.00 66 0.00 0 0 1
-45 0.04 60 0.00 90 0.00 0 0 1
-22 0.00 44 0.00 70 0.00 0 0 1
-33 0.00  8 0.00 48 0.00 0 0 1
-90 0.10  5 1.00 80 0.00 0 0 1
-28 0.00 85 0.00  6 0.50 0 0 1
-18 0.00 70 0.00 95 0.00 0 0 1
-40 0.00  0 0.00  0 0.00 0 0 1
-11 0.00 65 0.00 70 0.00 0 0 1
- 9 0.00 40 0.00 52 0.00 0 0 1
- 3 1.00  2 1.00  3 1.00 0 0 0
- 1 1.00  0 0.00  2 1.00 0 0 0
- 5 0.80  4 1.00 12 0.00 0 0 0
- 8 0.75 60 0.00  5 1.00 0 0 0
-20 0.90 70 0.00  9 0.50 0 0 0
-15 0.60 15 0.70 15 0.60 0 0 0
- 4 0.00  3 1.00  2 1.00 0 0 0
- 3 0.00  4 0.50  0 0.00 0 0 0
- 6 0.00  5 0.00  3 0.80 0 0 0
- 7 0.10  4 0.00  0 0.00 0 0 0
-30 0.55 10 0.80 12 0.70 0 0 0
- 1 0.00  1 0.00  3 0.60 1 0 1
- 2 0.00  0 0.00  1 0.00 1 0 1
- 6 1.00  5 1.00  4 1.00 1 0 1
- 3 0.80  2 0.90  6 0.80 1 0 1
- 1 0.00  0 0.00  0 0.00 1 0 1
- 4 0.00  9 0.00  7 1.00 1 0 1
-20 0.70  3 0.80  9 0.80 1 0 1
-12 0.00  6 1.00  5 1.00 1 0 1
- 3 0.00  3 0.00  2 0.00 1 0 1
- 8 0.60  7 0.70  1 1.00 1 0 1
- 1 1.00  1 1.00  1 1.00 1 0 1
- 2 0.00  4 1.00 30 0.00 1 0 1
-70 0.00 65 0.00 40 0.00 -1 0 0
-25 0.00 80 0.00 30 0.00 -1 0 0
-40 0.10 12 0.00 55 0.00 -1 0 0
-90 0.00 70 0.00 60 0.00 -1 0 0
-35 0.00 45 0.00 85 0.00 -1 0 0
-12 0.00 60 0.00 75 0.00 -1 0 0
- 4 0.00 20 0.00 60 0.00 -1 0 0
-28 0.00 35 0.00 50 0.00 -1 0 0
+- <nav><ul><li><a>#1</a><li><a>#2</a><li><a>#1</a></ul></nav>
+- <div class=ad>#12</div>
++ <article><h1>#8</h1><p>#60</p><p>#3</p><p>#90</p>
++ <ul><li>#4</li><li>#9</li></ul>
+- <aside>#30</aside>
++ <p>#25 <a>#12</a></p></article>
+- <section class=comments><p>#40</p><p>#12</p></section>
+- <footer>#14</footer>
+
+- <header><p>#3</p></header><p>#22</p>
++ <main><h1>#2</h1><p>#1</p><p>#1</p></main>
+- <p>#35</p><div>#9 <a>#2</a></div>
+
+- <div>#4</div>
++ <article><p>#12</p><h2>#3</h2><p>#70</p>
+- <ul><li><a>#3</a></li><li><a>#5</a></li><li><a>#2</a></li></ul>
++ <p>#45</p><blockquote>#20</blockquote>
+- <ul><li><a>#6</a></li><li><a>#4</a></li></ul></article>
+- <p>#50</p>
+
+- <h3>#2</h3>
++ <main><h1>#5</h1><p><a>#3</a></p><p>#40</p><p>#18 <a>#9</a></p>
+- <div class=share><a>#1</a></div><form>#8</form>
++ <p>#2</p></main>
+
++ <article><h1>#6</h1><p>#20</p><p><a>#8</a></p><p>#40</p><p>#2</p><p><a>#4</a></p><p>#30</p>
++ <p>#50</p><p><a>#2</a></p><p>#9</p></article>
+
+- <nav><a>#1</a> <a>#1</a> <a>#2</a></nav>
+- <div class=cookie-banner>#24</div>
++ <h1>#7</h1><p>#55</p><h2>#2</h2><p>#80</p><p>#6</p><p>#33</p>
+- <div id=related><p>#11</p></div>
+- <footer>#13</footer>
+
+- <div><a>#1</a> <a>#1</a> <a>#1</a></div>
++ <div>#9</div><div>#48</div><div>#20 <a>#4</a></div><div>#75</div>
+- <div><a>#2</a> <a>#3</a></div>
+
+- <div>#1</div><ul><li><a>#2</a></li><li><a>#1</a></li><li><a>#3</a></li></ul>
++ <h2>#6</h2><div>#30</div><div>#4</div><div>#64</div>
+- <h3>#2</h3><ul><li><a>#7</a></li><li><a>#8</a></li></ul>
+
+- <table><tr><td><a>#1</a></td><td><a>#2</a></td><td><a>#1</a></td></tr></table>
++ <table><tr><td>#45</td></tr><tr><td>#8</td></tr><tr><td>#95</td></tr></table>
+- <table><tr><td><a>#2</a></td><td><a>#1</a></td></tr></table>
+
++ <p>#2</p>
+
++ <h1>#3</h1><p>#5</p>
+
++ <p>#1</p><p>#2</p><p>#4</p>
+
++ <div>#15</div><div>#3</div>
+- <footer>#6</footer>
+
+- <div class=notice>#30</div>
++ <p>#9</p>
+- <div class=newsletter>#12</div>
+
+- <a>#1</a>
+
+- <p><a>#2</a></p><p><a>#4</a></p>
++ <p>#16</p>
+
+- <div><a>#3</a> #1</div>
++ <p>#40</p><ul><li>#3</li><li>#5</li><li>#2</li></ul><p>#28</p>
+- <p><a>#6</a> #1</p><p><a>#5</a></p>
+
+- <li><a>#1</a><li><a>#1</a>
++ <h1>#10</h1><p>#120</p><p>#7</p>
+- <div class="site-footer"><p>#20</p><p>#4</p></div>
+
+- <div role=dialog><p>#26</p></div>
++ <h1>#4</h1><p>#14</p><p>#22 <a>#3</a></p><h2>#1</h2><p>#11</p>
+- <div id=sidebar><h3>#2</h3><p>#45</p></div>
+- <section class=comments><h3>#2</h3><p>#19</p><p>#60</p></section>
+
+- <ul><li><a>#4</a></li><li><a>#3</a></li></ul>
++ <h1>#2</h1><p>#3</p><p>#36 <a>#14</a></p><p>#52</p>
++ <p>#2</p>
+- <ul><li><a>#2</a></li><li><a>#2</a></li></ul>
+
++ <p>#40</p>
+- <ul><li><a>#2</a></li><li><a>#6</a></li></ul>
++ <p>#30</p>
+
++ <article><p>#30</p>
+- <ul><li><a>#1</a></li><li><a>#2</a></li></ul>
++ <p>#2</p></article>
+
++ <p>#70</p><p>#3</p>
+- <ul><li><a>#2</a></li><li><a>#6</a></li></ul>
+
++ <h2>#2</h2><p>#90</p><p>#45</p>
+- <div><a>#2</a></div><div><a>#3</a></div>
+
++ <p>#26</p><p>#3</p>
+- <ul><li><a>#1</a></li><li><a>#3</a></li></ul>
 """
-FEATURES = 8
+FEATURES = 9
+
+
+def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled markup's blocks, each page in three lengths."""
+    rows, labels = [], []
+    for page, times in product(LABELLED.strip().split("\n\n"), (0.6, 1.0, 1.7)):
+        html = ""
+        for line in page.splitlines():
+            word = "good " if line[0] == "+" else "bad "
+            html += re.sub(r"#(\d+)", lambda m, w=word, x=times: (w * max(1, int(int(m[1]) * x))).strip(), line[2:])
+        found = blocks(html)
+        rows += [features_of(found, i) for i in range(len(found))]
+        labels += [b.text.startswith("good") for b in found]
+    return np.array(rows, float), np.array(labels, float)
 
 
-def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 5):
-    """A CART tree by Gini impurity: nested (feature, threshold, low, high), or a label."""
+def train_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 7, leaf: int = 3):
+    """A CART tree by Gini impurity: nested (feature, threshold, low, high), or a label. No side of a
+    split has fewer than leaf rows."""
     share = labels.mean()
     if depth == 0 or share in (0, 1):
         return int(share >= 0.5)
     best = None
-    for f in range(rows.shape[1]):
+    for f in [*range(rows.shape[1])][::-1]:  # of equal splits the one on markup
         values = np.unique(rows[:, f])
         for threshold in (values[1:] + values[:-1]) / 2:
             low = rows[:, f] <= threshold
+            if min(low.sum(), (~low).sum()) < leaf:
+                continue
             impurity = sum(own.sum() * labels[own].mean() * (1 - labels[own].mean()) for own in (low, ~low))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, float(threshold), low)
     if best is None:
         return int(share >= 0.5)
     _, f, threshold, low = best
-    return f, threshold, train_tree(rows[low], labels[low], depth - 1), train_tree(rows[~low], labels[~low], depth - 1)
+    return f, threshold, train_tree(rows[low], labels[low], depth - 1, leaf), train_tree(rows[~low], labels[~low], depth - 1, leaf)
 
 
 @lru_cache(maxsize=1)
 def default_tree():
-    table = np.array([line.split() for line in LABELLED.strip().splitlines()], dtype=float)
-    return train_tree(table[:, :FEATURES], table[:, FEATURES])
+    return train_tree(*labelled_blocks())
 
 
 def is_content(tree, features: list[float]) -> bool:
@@ -249,7 +308,7 @@ def features_of(page: list[Block], i: int) -> list[float]:
         b = page[k] if 0 <= k < len(page) else None
         out += [b.words, b.linked / max(1, b.words)] if b else [0, 0.0]
     article = 1.0 if page[i].article else -1.0 if any(b.article for b in page) else 0.0
-    return [*out, article, float(page[i].boiler)]
+    return [*out, article, float(page[i].boiler), float(page[i].heading)]
 
 
 def main_text(html: str | None, tree=None) -> str:
