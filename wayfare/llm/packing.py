@@ -3,7 +3,9 @@
 A solution is a set of bins. Crossover injects whole well-filled bins of one parent into another,
 drops the bins that hold duplicates and best-fits the displaced pieces, longest first. Pieces are
 dealt at random to blocks of bounded size; every block is evolved on several islands whose elites
-migrate in a ring. Bins that stay underfilled are packed again across blocks until one block is left."""
+migrate in a ring. Bins that stay underfilled are packed again across blocks until one block is left:
+so evolution has two aims, fewer bins, and with as few the room that is left in as few of them as can
+be, as only those have to be packed again."""
 
 from __future__ import annotations
 
@@ -209,7 +211,8 @@ def _rebuild(sizes, kept, displaced, capacity, rng) -> np.ndarray:
 
 
 def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], seed: int, size: int = 4, generations: int = 6) -> list[np.ndarray]:
-    """The next population, best first; ends at once when no packing can have fewer bins."""
+    """The next population, best first. It ends early only when no packing can be better: no fewer bins,
+    and none but one with room left."""
     rng, least = np.random.default_rng(seed), math.ceil(sizes.sum() / capacity)
     population = list(population)
     while len(population) < size:
@@ -217,12 +220,11 @@ def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], seed:
         jitter = rng.random(len(sizes)) * (0 if not population else capacity / 8)
         best_fit(sizes, np.argsort(-sizes + jitter, kind="stable"), capacity, bins, [])
         population.append(bins)
-        if len(np.bincount(bins)) == least:
-            break
     rank = lambda b: fitness(sizes, b, capacity)
     population.sort(key=rank)
     for _ in range(generations):
-        if len(population) < 2 or rank(population[0])[0] == least:
+        fill = np.bincount(population[0], sizes)
+        if len(population) < 2 or len(fill) == least and (fill < capacity).sum() <= 1:
             break
         a, b = rng.choice(len(population), 2, replace=False)
         children = [cross(sizes, population[min(a, b)], population[max(a, b)], capacity, rng), mutate(sizes, population[0], capacity, rng)]
@@ -237,15 +239,18 @@ def pack(items: DataFrame, capacity: int = 2048, block_rows: int = 4096, islands
     No sequence is longer than capacity; offsets are gapless from 0. Rows alike in all columns are
     separate pieces; a null id is carried along. An empty table gives no rows."""
     parts, level, rest = [], 0, stored(items.withColumn("salt", F.rand(5)), "pieces")
+    left = rest.count()
     while True:
-        blocks = max(1, -(-rest.count() // block_rows))
+        blocks = max(1, -(-left // block_rows))
         rest = rest.withColumn("block", F.floor(F.col("salt") * blocks).cast("long"))
         placed = stored(_pack_blocks(rest, capacity, islands, epochs, level), "packed")
-        if blocks == 1 or level == 8:
+        rest = stored(placed.where(F.col("fill") < full * capacity).select(*items.columns, F.rand(level + 6).alias("salt")), "pieces")
+        before, left = left, rest.count()
+        if blocks == 1 or left > 0.9 * before:  # pieces that don't fill bins among so many others won't among fewer
             parts.append(placed)
             break
         parts.append(placed.where(F.col("fill") >= full * capacity))
-        rest, level = stored(placed.where(F.col("fill") < full * capacity).select(*items.columns, "salt"), "pieces"), level + 1
+        level += 1
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
