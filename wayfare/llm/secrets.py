@@ -62,25 +62,24 @@ def trigram_query(rule: Rule) -> list[list[str]]:
 def postings(docs: DataFrame, key: list[str], rules=RULES) -> DataFrame:
     """The inverted index: (trigram, *key), one posting for each row that holds the trigram."""
     grams = sorted({g for rule in rules for branch in trigram_query(rule) for g in branch})
-    text = F.lower(text_or_empty())
-    found = F.filter(F.array(*map(F.lit, grams)), lambda gram: F.contains(text, gram))
-    return docs.select(*key, F.explode(found).alias("trigram"))
+    every = F.array(*map(F.lit, grams))
+    # the lambda's variable holds the lower-case text, which is so made once a row
+    found = F.transform(F.array(F.lower(text_or_empty())), lambda low: F.filter(every, lambda gram: F.contains(low, gram)))
+    return docs.select(*key, F.explode(found[0]).alias("trigram"))
 
 
 def candidates(index: DataFrame, key: list[str], rules=RULES) -> DataFrame:
-    """(*key, kinds): rows whose postings satisfy a rule's query. A row's postings are at most the
-    trigrams of all queries, so no group grows with the data."""
-    held = index.groupBy(*key).agg(F.collect_set("trigram").alias("held"))
-    kinds = []
-    for rule in rules:
-        branches = trigram_query(rule)
-        if not branches:
-            continue
-        hit = F.lit(False)
-        for branch in branches:
-            hit = hit | (F.size(F.array_intersect("held", F.array(*map(F.lit, branch)))) == len(branch))
-        kinds.append(F.when(hit, F.lit(rule.kind)))
-    return held.select(*key, F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+    """(*key, kinds): rows whose postings satisfy a rule's query. The lists of a conjunction's trigrams
+    are intersected by counting, for each row in any of them, in how many it is. A row's postings are at
+    most the trigrams of all queries, so no group grows with the data."""
+    branches = [(rule.kind, grams) for rule in rules for grams in trigram_query(rule)]
+    asking = {g: [i for i, (_, grams) in enumerate(branches) if g in grams] for _, own in branches for g in own}
+    by_gram = F.create_map(*[x for g, own in sorted(asking.items()) for x in (F.lit(g), F.array(*map(F.lit, own)))])
+    need, kind = F.array(*[F.lit(len(grams)) for _, grams in branches]), F.array(*[F.lit(k) for k, _ in branches])
+    branch = fresh(index, "branch")[0]
+    posted = index.select(*key, "trigram", F.explode(by_gram[F.col("trigram")]).alias(branch))
+    met = posted.groupBy(*key, branch).agg(F.count_distinct("trigram").alias("met")).where(F.col("met") == F.get(need, F.col(branch)))
+    return met.groupBy(*key).agg(F.collect_set(F.get(kind, F.col(branch))).alias("kinds"))
 
 
 def rule_spans(text: Column, rule: Rule) -> Column:
