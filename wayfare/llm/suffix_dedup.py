@@ -1,8 +1,9 @@
 """Exact substring dedup by suffix sorting.
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller id. Suffixes are
-compared to a depth of 50 bytes by deep-shallow sorting: a multikey quicksort on eight bytes at a
-time to a shallow depth, then blind tries for the groups that still agree. Only suffixes that can
+compared to a depth of 50 bytes by deep-shallow sorting: a multikey quicksort to a shallow depth, in
+vectorised form (each step sorts all groups that still agree by their next eight bytes at once), then
+blind tries for the groups that still agree, again a level of all of them at a time. Only suffixes that can
 have an equal in another document are sorted: every 50-byte string is filed under its anchor, the
 20-byte string in it of least hash, and equal strings have equal anchors.
 
@@ -242,10 +243,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 ids, ends, data = _open(row)
                 h = np.unique(_named(ids, ends, np.frombuffer(data, np.uint8))[2])
                 bucket, rest = (h % by).astype(np.int64), ((h // by) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                for b in range(buckets):
-                    own = np.sort(rest[bucket == b])
-                    if len(own):
-                        yield pd.DataFrame({"bucket": [b], "block": [row.block], "blob": [own.tobytes()]})
+                order = np.lexsort((rest, bucket))
+                bucket, rest = bucket[order], rest[order]
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                blobs = [own.tobytes() for own in np.split(rest, first[1:])] if len(first) else []
+                yield pd.DataFrame({"bucket": bucket[first], "block": row.block, "blob": blobs})
 
     def answer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         asked = [np.unique(np.frombuffer(x, np.uint32)) for x in group["blob"]]
@@ -284,8 +286,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 anchor = np.zeros(len(seen), np.uint64)
                 anchor[which] = h
                 contents, bucket = list(seen), (anchor % by).astype(np.int64)
-                for b in np.unique(bucket).tolist():
-                    own = np.flatnonzero(bucket == b)
+                order = np.argsort(bucket, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    b = int(bucket[own[0]])
                     sizes = np.array([len(contents[i]) for i in own], np.int64)
                     blob = _pack(np.array([len(own)], np.int64), sizes, anchor[own], least[own], np.frombuffer(b"".join([contents[i] for i in own]), np.uint8))
                     yield pd.DataFrame({"bucket": [b], "block": [row.block], "blob": [blob]})
