@@ -219,7 +219,10 @@ def leaks(index: Index, codes_of: _Codes, text: str | None, window: int, thresho
                     "question_overlap": shared[0] / max(1, len(question)),
                     "answer_overlap": shared[1] / max(1, len(answer)),
                 }
-    return sorted(best.values(), key=lambda x: x["item_id"])
+    by_id: dict[int, dict] = {}
+    for hit in best.values():  # an id of several texts is found by the best of them
+        by_id[hit["item_id"]] = max(by_id.get(hit["item_id"], hit), hit, key=lambda x: (x["score"], x["question_overlap"], x["answer_overlap"]))
+    return sorted(by_id.values(), key=lambda x: x["item_id"])
 
 
 def _inside(part: tuple[str, ...], raw: list[str]) -> bool:
@@ -239,10 +242,11 @@ def find_leaks(
     of the item's 5-word shingles, one of its answer's among them. The index is built and sent in
     blocks of at most about index_bytes of item text, each of which meets all documents; document
     frequencies and mean length are counted over all items. Null or empty items leak nowhere, null or
-    empty texts hold nothing, repeated items count once; extra columns are kept, leaks replaced."""
+    empty texts hold nothing, repeated items count once, an id with several texts
+    leaks if one of them does; extra columns are kept, leaks replaced."""
     short_batches(docs.sparkSession)
     docs = docs.drop("leaks")
-    items = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // index_bytes))
 
@@ -265,7 +269,7 @@ def find_leaks(
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         words = own.select("text").mapInPandas(unit_words, "words array<string>, size long").select(F.explode("words").alias("word"))
         df = dict(counts.join(words.distinct(), "word", "left_semi").collect())  # bounded by the block's text
-        index = build_index([(r.item_id, r.text) for r in own.orderBy("item_id").collect()], df, n_units, mean, window)
+        index = build_index([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], df, n_units, mean, window)
         out = out.withColumn(name, F.concat(name, _search(index, window, threshold, overlap)(F.col("text"))))
     return out
 
