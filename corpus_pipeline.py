@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import decontamination, minhash, packing, secrets, toxicity
-from wayfare.llm.common import fresh, ship, short_batches, stored, text_or_empty
+from wayfare.llm.common import forget, fresh, settled, ship, short_batches, stored, text_or_empty
 from wayfare.llm.queries import tokenizer_path
 
 
@@ -72,10 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through every stage; each result is written and read again."""
+    """documents through every stage; each result is written and read again, and what the stages before
+    have written is removed.
+
+    Null and empty texts pass every stage and end as a piece that is their end id alone; a null id is
+    carried through; an empty table gives no rows; extra columns stay up to the last stage, whatever
+    their names. Rows alike in id and text become one in the second stage; texts alike but for their
+    ids, the one of the smallest id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, settled(lambda own=docs, stage=stage: stage(spark, own, sf_dir), f"stage-{name}")
+        forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,15 +4,17 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from wayfare.llm import chunk_dedup, decontamination, embedding_graph, html_extract, packing, queries, suffix_dedup
+from wayfare.llm import chunk_dedup, common, decontamination, embedding_graph, html_extract, minhash, packing, queries, secrets, suffix_dedup, toxicity
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -47,6 +49,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.predicted.mean() < 0.05
 
 
+def judged(spark, sf, model):
+    """Recall and precision on the held-out rows of the tables in sf."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("held", toxicity.held_out()).where("held")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.score(docs, model).join(labels, "doc_id").select("toxic", "predicted").toPandas()
+    hit = (rows.toxic & rows.predicted).sum()
+    return hit / rows.toxic.sum(), hit / max(1, rows.predicted.sum())
+
+
+def test_toxicity_is_caught_and_pairs_of_terms_matter(spark):
+    sf = f"{os.path.dirname(SF)}/sf0.1"
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    recall, precision = judged(spark, sf, model)
+    assert recall > 0.85 and precision > 0.95
+    alone = toxicity.Model(model.buckets, model.bias, model.weights, 0 * model.factors, model.n_buckets)
+    assert judged(spark, sf, alone)[0] < recall - 0.3
+
+
+def test_a_term_that_matters_only_in_company_is_learned(spark):
+    rng = np.random.default_rng(4)
+    fill = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(300)]
+    rows = []
+    for i in range(3000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = [*rng.choice(fill, 20), *(["rotten"] if insult else []), *(["neighbours"] if group else [])]
+        rows.append((i, " ".join(rng.permutation(words)), int(insult and group)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df)
+    held = toxicity.score(df.withColumn("held", toxicity.held_out()).where("held"), model).select("toxic", "predicted").toPandas()
+    assert (held.toxic == held.predicted).mean() > 0.99
+
+
 def test_embeddings_against_all_pairs(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     x, ids = embedding_graph.unit(table.embedding), table.vec_id.to_numpy()
@@ -68,6 +102,22 @@ def test_graph_search_recall():
     assert sum(map(len, found)) >= 0.98 * there
 
 
+def test_links_of_many_clusters_count_at_both_ends(spark):
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(450, 32))
+    x = np.concatenate([centres + 0.17 * rng.normal(size=centres.shape) for _ in range(20)])[rng.permutation(9_000)]
+    u = embedding_graph.unit(x)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    rows = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    found = embedding_graph.near_duplicates(rows).toPandas().set_index("vec_id").sort_index()
+    there, n = near.sum(), found.n_links.to_numpy()
+    assert there > 20_000 and (n <= near.sum(1)).all() and n.sum() % 2 == 0 and n.sum() >= 0.995 * there
+    union = Union()
+    for a, b in zip(*np.nonzero(near), strict=True):
+        union.join(a, b)
+    assert (found.component_id.to_numpy() == [union.find(i) for i in range(len(x))]).mean() > 0.995
+
+
 def test_links_of_a_group_over_many_shards(spark):
     rng = np.random.default_rng(5)
     hot = rng.normal(size=32) + 0.15 * rng.normal(size=(6_000, 32))
@@ -144,6 +194,17 @@ def test_chunk_dedup_against_planted_passages(spark):
     assert sum(bool(out[1000 + i].removed) for i in range(120)) > 110 and not any(out[2000 + i].removed for i in range(40))
 
 
+def test_cuts_come_back_after_an_insertion():
+    rng = np.random.default_rng(8)
+    data = bytes(rng.integers(97, 123, 20_000).astype(np.uint8))
+    before = set(chunk_dedup.cut_points(data))
+    for at, more in ((0, b"x"), (5, b"some new words"), (9_000, b"y" * 700)):
+        after = {c - len(more) for c in chunk_dedup.cut_points(data[:at] + more + data[at:]) if c > at + len(more)}
+        late = {c for c in before if c > at}
+        assert late - after <= {c for c in late if c < at + 1_000} and len(late & after) > 0.9 * len(late)
+    assert b"".join(data[a:b] for a, b in zip([0, *sorted(before)], sorted(before), strict=False)) == data
+
+
 def test_leaks_against_shingles(spark, texts):
     items = {r.item_id: decontamination.question_and_answer(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     sets = {i: decontamination.shingles(q) | decontamination.shingles(a) for i, (q, a) in items.items()}
@@ -171,11 +232,46 @@ def test_packing_round_trip(spark, texts):
     assert out.sequence_id.nunique() <= math.ceil(out.length.sum() / 2048) + 2
 
 
+def room(sizes, bins):
+    """Bins, and of those the ones that would have to be packed again."""
+    fill = np.bincount(bins, sizes)
+    return len(fill), int((fill < 0.95 * 2048).sum())
+
+
 def test_genetic_packing_keeps_every_piece():
     rng = np.random.default_rng(2)
     sizes = rng.integers(300, 1100, 500)
     for bins in packing.evolve(sizes, 2048, [], 1):
         assert (np.bincount(bins, sizes) <= 2048).all() and (np.bincount(bins) > 0).all()
+    first, second = packing.evolve(sizes, 2048, [], 3)[:2]
+    for child in (packing.cross(sizes, first, second, 2048, rng), packing.mutate(sizes, first, 2048, rng)):
+        assert (np.bincount(child, sizes) <= 2048).all() and np.unique(child).tolist() == list(range(child.max() + 1))
+    kept = {tuple(np.flatnonzero(first == b)) for b in range(first.max() + 1)}
+    child = packing.cross(sizes, first, second, 2048, np.random.default_rng(5))
+    assert sum(tuple(np.flatnonzero(child == b)) in kept for b in range(child.max() + 1)) >= 10  # whole bins are inherited
+
+
+def test_evolution_beats_best_fit():
+    better = 0
+    for seed in range(6):
+        sizes = np.random.default_rng(seed).integers(300, 1100, 400)
+        bins = np.empty(len(sizes), np.int64)
+        packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), 2048, bins, [])
+        evolved = packing.evolve(sizes, 2048, packing.evolve(sizes, 2048, [], seed), seed + 50, generations=12)[0]
+        assert room(sizes, evolved)[0] <= room(sizes, bins)[0]
+        better += room(sizes, evolved) < room(sizes, bins)
+    assert better >= 4
+
+
+def test_elites_migrate(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(300, 1100, 300))]
+    items = spark.createDataFrame(rows, packing.PIECE_FIELDS)
+    out = packing.pack(items, epochs=3).toPandas()
+    sums = out.groupby("sequence_id").length.sum()
+    assert len(out) == 300 and sums.max() <= 2048
+    alone = packing.pack(items, islands=1, epochs=1).toPandas()
+    assert out.sequence_id.nunique() <= alone.sequence_id.nunique()
 
 
 def test_shards_are_even_and_gapless(spark, texts):
@@ -206,6 +302,93 @@ def test_near_duplicates_against_all_pairs(spark, texts):
     assert all(out.component_id[i] == union.find(i) and out.n_shingles[i] == len(s) for i, s in sets.items())
 
 
+def test_near_duplicates_close_to_the_threshold(spark):
+    """Many pairs just above and below 0.8, in lists and classes that are cut into parts and in whole ones."""
+    rng, texts = np.random.default_rng(3), {}
+    vocabulary = [f"w{k}" for k in range(400)]
+    for _ in range(40):
+        base = [vocabulary[k] for k in rng.integers(0, 400, rng.integers(8, 80))]
+        for _ in range(20):
+            words = list(base)
+            for k in rng.integers(0, len(words), rng.integers(0, max(2, len(words) // 9))):
+                words[k] = vocabulary[rng.integers(0, 400)]
+            texts[len(texts) * 3 + 1] = " ".join(words)
+    sets = {i: set(zip(w, w[1:], strict=False)) for i, w in ((i, t.split()) for i, t in texts.items())}
+    union, close = Union(), 0
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 100 * (n := len(a & b)) >= 75 * (len(a) + len(b) - n):
+                close += 1
+                if 100 * n >= 80 * (len(a) + len(b) - n):
+                    union.join(i, j)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for bounds in ({}, {"part_rows": 16, "part_shingles": 1 << 10}):
+        found = {r.doc_id: r.component_id for r in minhash.near_duplicates(rows, **bounds).collect()}
+        assert found == {i: union.find(i) for i in texts}
+    assert close > 3_000
+
+
+def test_linked_classes_against_all_pairs():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 40, rng.integers(3, 60), dtype=np.uint64)
+        sets = []
+        for _ in range(rng.integers(2, 30)):
+            own = base[rng.random(len(base)) > 0.12]
+            sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 40, rng.integers(0, 4), dtype=np.uint64)])))
+        sets = [s for s in sets if len(s)]
+        known = rng.integers(0, len(sets), len(sets))
+        union = Union()
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if known[i] == known[j] or 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                    union.join(i, j)
+        assert minhash.linked_classes(sets, known, 80).tolist() == [union.find(i) for i in range(len(sets))]
+
+
+GOOD, BAD = "good " * 30, "bad " * 30
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class=cookie-banner>{BAD}</div><div id=content><h1>good title</h1><p>{GOOD}</p><p>good.</p></div><footer>bad bad bad bad bad bad bad bad bad bad bad bad bad</footer>",
+        "<p>good page.</p>",
+        "good",
+        f"<div class=menu><a>bad</a> <a>bad</a></div><div class=post><div>{GOOD}</div><div>good good good</div></div><div class=comments><div>{BAD}</div></div>",
+        f"<table><tr><td><a>bad</a><td><a>bad</a></table><table><tr><td>{GOOD}<tr><td>good good good good</table>",
+        f"<ul><li><a>bad</a><li><a>bad bad</a></ul><h1>good good good good good</h1><p>{GOOD}</p><ul><li>good good<li>good</ul><p>good good good</p><ul><li><a>bad bad</a><li><a>bad</a></ul>",
+        f"<article><p>{GOOD}</p><ul><li><a>bad</a></li><li><a>bad bad</a></li></ul><p>good</p></article>",
+        f"<aside><article><p>{BAD}</p></article></aside><main><p>{GOOD}</main>",
+        f"<nav><a>bad</a><article><p>{GOOD}</p></article>",
+        f"<form>{BAD}</form><p>{GOOD}</p><div class=advert>{BAD}</div><p>good good</p><div role=contentinfo>{BAD}</div>",
+        f"<div class=notice>bad bad</div><p>{GOOD}</p><p>{GOOD} <a>good good</a></p><div class='site-footer'><p>{BAD}</div>",
+        f"<main><p title='x > y'>good</p><p title=\"unclosed>{GOOD}</p></main>",
+    ],
+)
+def test_extraction_of_pages_of_other_makes(page):
+    text = html_extract.main_text(page)
+    assert "bad" not in text and text.count("good") == page.count("good")
+
+
+def test_the_tree_asks_for_words_and_links():
+    def asked(tree):
+        return {tree[0]} | asked(tree[2]) | asked(tree[3]) if isinstance(tree, tuple) else set()
+
+    x, y = html_extract.labelled_blocks()
+    tree = html_extract.default_tree()
+    assert asked(tree) & {0, 2, 4} and asked(tree) & {1, 3, 5} and 7 in asked(tree)
+    assert sum(html_extract.is_content(tree, list(a)) != b for a, b in zip(x, y, strict=True)) <= 2
+
+
+def test_long_and_broken_pages_take_little_time():
+    for page in ('<a title="x>' * 20_000, "<p title='it" + " x" * 300_000, "<p>" + "a b " * 300_000, "<div>" * 5_000 + "good", "<" * 100_000):
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 20
+
+
 def test_extraction_against_the_article_element(spark):
     from html import unescape
 
@@ -227,12 +410,54 @@ def test_secrets_against_their_sql(spark):
 
 
 def test_pipeline(spark, texts):
+    """Every stage against a plain version of it on what the stage before has kept."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, SF)
-        assert docs.columns == before.columns, name
-        assert docs.where(F.col("doc_id").isNotNull()).join(before, "doc_id", "left_anti").count() == 0
-    packed = corpus_pipeline.run(spark, SF)
-    assert packed.select("doc_id").distinct().count() == docs.count() <= len(texts)
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+
+    def through(name, docs):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == columns, name
+        path = f"{common.scratch_root(spark)}/test-{name}"
+        out.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    clean = {r.doc_id for r in toxicity.score(docs, model).where("score < 0.7").collect()}
+    docs = through("toxicity", docs)
+    assert {r.doc_id for r in docs.collect()} == clean
+
+    sets = {}
+    for i in clean:
+        w = texts[i].encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    union = Union()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and 100 * (n := len(a & b)) >= 80 * (len(a) + len(b) - n):
+                union.join(i, j)
+    firsts = {i for i in clean if union.find(i) == i}
+    docs = through("near_duplicates", docs)
+    assert {r.doc_id for r in docs.collect()} == firsts
+
+    items = [decontamination.question_and_answer(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [s for s in (decontamination.shingles(q) | decontamination.shingles(a) for q, a in items) if s]
+    free = {i for i in firsts if not any(len(s & decontamination.shingles(decontamination.normal_words(texts[i]))) >= 0.8 * len(s) for s in items)}
+    docs = through("decontamination", docs)
+    assert {r.doc_id for r in docs.collect()} == free
+
+    docs = through("secrets", docs)
+    masked = {r.doc_id: r for r in docs.collect()}
+    assert set(masked) == free
+    for i, r in masked.items():
+        gone, text = np.zeros(len(texts[i]) + 1, bool), texts[i]
+        for rule in secrets.MASKED:
+            for m in regex.finditer(rule.pattern, text):
+                if len(m[rule.group]) >= rule.least:
+                    gone[m.start() : m.end()] = True
+        parts = re.sub("\0+", "[REDACTED]", "".join("\0" if g else t for t, g in zip(text, gone, strict=False)))
+        assert r.text == parts and r.n_chars == len(parts)
+
+    packed = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(packed.doc_id) == free and packed.groupby("sequence_id").length.sum().max() <= 2048

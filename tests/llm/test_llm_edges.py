@@ -4,7 +4,7 @@ extra columns with clashing names."""
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.llm import chunk_dedup, decontamination, embedding_graph, html_extract, minhash, packing, secrets, sharding, suffix_dedup, toxicity
+from wayfare.llm import chunk_dedup, common, decontamination, embedding_graph, html_extract, minhash, packing, secrets, sharding, suffix_dedup, toxicity
 from wayfare.llm.queries import tokenizer_path
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
@@ -116,3 +116,49 @@ def test_pages(spark):
     out = html_extract.extract(df).orderBy("page_id").collect()
     assert [(r.text, r.n_chars) for r in out] == [("", 0), ("", 0), ("", 0), ("A & B\nc", 7), ("A & B\nc", 7), ("", 0)]
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, docs, labels, items):
+    """Nulls in any column, blank and very long texts, repeated rows and ids, clashing names, empty tables."""
+    import corpus_pipeline
+
+    for name, rows in (("odd", docs), ("empty", docs.limit(0))):
+        folder = str(tmp_path / name)
+        rows.withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")}).write.parquet(f"{folder}/documents.parquet")
+        (labels if name == "odd" else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        (items if name == "odd" else items.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
+        packed = corpus_pipeline.run(spark, folder).toPandas()
+        if name == "empty":
+            assert not len(packed)
+            continue
+        left = packed[packed.piece == 0]
+        # the copies 1, 1 and 2 leave one; 6 copies 5; blank texts stay
+        assert sorted(left.doc_id.dropna()) == [1, 3, 4, 5, 7, 8] and left.doc_id.isna().sum() == 2
+        assert packed.groupby("sequence_id").length.sum().max() <= 2048
+        stages = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, step in corpus_pipeline.STAGES[:-1]:
+            assert step(spark, stages, folder).columns == stages.columns, stage
+
+
+def test_tables_of_a_stage_are_removed(spark):
+    kept = common.settled(lambda: common.stored(spark.range(5), "one").union(common.stored(spark.range(3), "two")), "both")
+    assert kept.count() == 8
+    folder = spark._jvm.java.io.File(common.scratch_root(spark).removeprefix("file://"))
+    names = [f.getName().split("-")[0] for f in folder.listFiles()]
+    assert "both" in names and "one" not in names and "two" not in names
+    common.forget(kept)
+    assert "both" not in [f.getName().split("-")[0] for f in folder.listFiles()]
+
+
+def test_components_of_a_hub(spark):
+    links = spark.range(1, 30_000).selectExpr("id * 3 as u", "0L as v").union(spark.createDataFrame([(1, 2), (2, 4), (None, 5), (7, 7)], "u long, v long"))
+    found = {r.id: r.component_id for r in common.connected_components(links).collect()}
+    assert len(found) == 30_003 and found[89_997] == 0 and (found[1], found[2], found[4]) == (1, 1, 1)
+
+
+def test_an_item_of_several_texts(spark):
+    one, two = "what is the first of these many words here? alpha beta gamma", "where do all the other words of this go? delta epsilon zeta"
+    items = spark.createDataFrame([(1, one), (1, two), (2, "none of this at all is in there? so it is")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x y z {one} and on"), (2, f"x y z {two} and on"), (3, f"{one} {two}")], "doc_id long, text string")
+    found = {r.doc_id: [h.item_id for h in r.leaks] for r in decontamination.find_leaks(docs, items).collect()}
+    assert found == {1: [1], 2: [1], 3: [1]}

@@ -147,6 +147,15 @@ e as (select x, y from l union all select y, x from l),
 r(x, y) as (select doc_id, doc_id from s union select r.x, e.y from r join e on r.y = e.x)
 select doc_id, len(own) as n_shingles, component_id, doc_id = component_id as kept from s join (select x as doc_id, min(y) as component_id from r group by x) using (doc_id)"""
 
+_LINK_SQL = """with recursive t as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+g as (select * from t where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.r as x, b.r as y from g a join g b on len(a.e) = len(b.e) and a.r <> b.r where list_cosine_similarity(a.e, b.e) >= 0.95),
+c(x, y) as (select r, r from t union select c.x, l.y from c join l on c.y = l.x),
+m as (select x, min(vec_id) as component_id from c join t on t.r = c.y group by x),
+n as (select x, count(*) as n from l group by x)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, component_id is null) as kept
+from t join m on m.x = t.r left join n on n.x = t.r"""
+
 QUERIES = {
     "op1_factorization_machine_toxicity": op1_factorization_machine_toxicity,
     "op2_pruned_graph_near_dedup": op2_pruned_graph_near_dedup,
@@ -161,6 +170,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_pruned_graph_near_dedup": _LINK_SQL,
     "op3_suffix_array_dedup": _SUFFIX_SQL,
     "op7_signature_join_near_dedup": _SHINGLE_SQL,
     "op10_trigram_secret_scan": _secret_sql(),
