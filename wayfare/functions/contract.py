@@ -39,7 +39,8 @@ def parse_timestamp(value: Column) -> Column:
     """UTC instant of a text: epoch seconds (10 digits, perhaps a fraction) or milliseconds (13), ISO
     date and time with Z, an offset or neither, a plain or day-first or slashed date and time.
     Anything else is null: a bare year or time of day is not an instant."""
-    return _instant(as_text(value))
+    # the lambda's variable is made once, where a column would be copied into each of the spellings
+    return F.get(F.transform(F.array(as_text(value)), _instant), F.lit(0))
 
 
 def _instant(t: Column) -> Column:

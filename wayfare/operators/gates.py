@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,13 @@ def row_conservation(left: DataFrame, joined: DataFrame, join_name: str) -> Data
     return _verdict(counts, f"row_conservation:{join_name}", F.col("l") == F.col("j"), F.col("j"), F.col("l"))
 
 
-def reconciliation(incoming: DataFrame, accepted: DataFrame, quarantined: DataFrame) -> DataFrame:
-    """accepted + quarantined = incoming."""
+def reconciliation(incoming: DataFrame, accepted: DataFrame, quarantined: DataFrame, collapsed: DataFrame | None = None) -> DataFrame:
+    """accepted + collapsed + quarantined = incoming. collapsed has one number, the rows that deduplication removed:
+    accounted for, not lost."""
     counts = incoming.agg(F.count("*").alias("i")).crossJoin(accepted.agg(F.count("*").alias("a"))).crossJoin(quarantined.agg(F.count("*").alias("q")))
-    return _verdict(counts, "reconciliation", F.col("a") + F.col("q") == F.col("i"), F.col("a") + F.col("q"), F.col("i"))
+    counts = counts.crossJoin(collapsed.toDF("c")) if collapsed is not None else counts.withColumn("c", F.lit(0))
+    found = F.col("a") + F.col("c") + F.col("q")
+    return _verdict(counts, "reconciliation", found == F.col("i"), found, F.col("i"))
 
 
 def unique_key(rows: DataFrame, *key: str) -> DataFrame:
@@ -59,10 +63,15 @@ def orphan_examples(rows: DataFrame, column: str, parent: DataFrame, parent_key:
     return missing.select(F.col(column).cast("string").alias("example")).orderBy("example").limit(n)
 
 
-def freshness(rows: DataFrame, column: str, as_of: str, max_lag_hours: float, severity: str = BLOCK) -> DataFrame:
-    """The newest row is no older than max_lag at as_of; no row at all fails."""
+def freshness(rows: DataFrame, column: str, as_of: str, max_lag_hours: float, severity: str = BLOCK, warn_hours: float | None = None) -> DataFrame:
+    """The newest row is no older than max_lag at as_of; no row at all fails. With warn_hours a lag
+    beyond that alone fails as a WARN."""
     lag = rows.agg(((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.max(column).cast("timestamp"))) / F.lit(3.6e9)).alias("h"))
-    return _verdict(lag, f"freshness:{column}", F.col("h") <= max_lag_hours, F.round("h", 3), F.lit(float(max_lag_hours)), severity)
+    limit = F.lit(float(max_lag_hours))
+    if warn_hours is None:
+        return _verdict(lag, f"freshness:{column}", F.col("h") <= limit, F.round("h", 3), limit, severity)
+    only_late = F.col("h").between(warn_hours, max_lag_hours)
+    return _verdict(lag, f"freshness:{column}", F.col("h") <= warn_hours, F.round("h", 3), F.when(only_late, F.lit(float(warn_hours))).otherwise(limit), F.when(only_late, WARN).otherwise(severity))
 
 
 def upper_median(column: str) -> Column:
@@ -73,8 +82,13 @@ def upper_median(column: str) -> Column:
 def volume_band(daily: DataFrame, day: str, tolerance: float = 0.5, least_days: int = 3) -> DataFrame:
     """daily(date_key, n): the day's count lies within median * (1 +- tolerance) of the other days; with
     fewer than least_days of them the gate passes as a WARN."""
-    others = daily.where(F.col("date_key") != day).agg(upper_median("n").alias("m"), F.count("*").alias("days"))
     own = daily.where(F.col("date_key") == day).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return volume_against(own, daily.where(F.col("date_key") != day).select("n"), tolerance, least_days)
+
+
+def volume_against(own: DataFrame, baseline: DataFrame, tolerance: float = 0.5, least_days: int = 3) -> DataFrame:
+    """The same for one observed number own(n) and the daily counts baseline(n) that it is held against."""
+    others = baseline.agg(upper_median("n").alias("m"), F.count("*").alias("days"))
     short = F.col("days") < least_days
     inside = F.col("n").between(F.col("m") * (1 - tolerance), F.col("m") * (1 + tolerance))
     return _verdict(others.crossJoin(own), "volume_band", short | inside, F.col("n"), F.coalesce("m", F.lit(0)), F.when(short, WARN).otherwise(BLOCK))
@@ -100,6 +114,11 @@ def accepted_range(rows: DataFrame, column: str, low=None, high=None) -> DataFra
     return rows.agg(F.count_if(bad).alias("outside"))
 
 
+def failing(rows: DataFrame, test: str, bad: Column) -> DataFrame:
+    """A declared test: no row is bad; observed is how many are."""
+    return _verdict(rows.agg(F.count_if(F.coalesce(bad, F.lit(False))).alias("n")), f"test:{test}", F.col("n") == 0, F.col("n"), F.lit(0))
+
+
 @dataclass
 class GateReport:
     """Verdicts of one stage, and what follows from them."""
@@ -107,8 +126,10 @@ class GateReport:
     verdicts: list[dict] = field(default_factory=list)
 
     def add(self, *frames: DataFrame) -> GateReport:
-        for frame in frames:
-            self.verdicts += [r.asDict() for r in frame.collect()]  # one row each
+        """Judge all frames in one job; each is one row."""
+        every = [frame.withColumn("_no", F.lit(i)) for i, frame in enumerate(frames)]
+        judged = reduce(DataFrame.unionByName, every).collect() if every else []
+        self.verdicts += [{k: v for k, v in r.asDict().items() if k != "_no"} for r in sorted(judged, key=lambda r: r["_no"])]
         return self
 
     @property

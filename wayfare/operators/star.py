@@ -30,7 +30,11 @@ def dim_driver(facts: DataFrame) -> DataFrame:
     return facts.where("driver_id is not null").groupBy("driver_id").agg(F.min("assigned_at").alias("first_seen_at"), F.count("*").alias("trips_total"))
 
 
-def dim_store(facts: DataFrame, city: str = "Bengaluru") -> DataFrame:
+#: Fixed value: the city of every store.
+CITY = "Mirefield"
+
+
+def dim_store(facts: DataFrame, city: str = CITY) -> DataFrame:
     names = facts.where("store_id is not null").select("store_id").distinct()
     return names.select("store_id", F.concat(F.initcap("store_id"), F.lit(" Depot")).alias("store_name"), F.lit(city).alias("city"))
 

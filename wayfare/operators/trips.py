@@ -36,7 +36,8 @@ def with_violations(events: DataFrame) -> DataFrame:
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    return F.round((F.unix_micros(end) - F.unix_micros(start)) / F.lit(60000000.0), 3)
+    """Thousandths of a minute, halves up, by whole numbers."""
+    return F.floor((F.unix_micros(end) - F.unix_micros(start) + 30_000) / F.lit(60_000)) / F.lit(1000.0)
 
 
 def build_facts(events: DataFrame, as_of: str, lag_window: str = LAG_WINDOW) -> DataFrame:

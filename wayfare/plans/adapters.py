@@ -54,7 +54,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 7 == 5, F.floor(micros / 1000).cast("string"))
         .otherwise(fmt("yyyy-MM-dd'T'HH:mm:ss"))
     )
-    spelled = F.when(n % 83 == 0, "last tuesday").when(n % 79 == 0, "2026").otherwise(spelled)
+    spelled = F.when(n % 83 == 0, "around noon").when(n % 79 == 0, "2026").otherwise(spelled)
 
     def text(name: str, value):
         return F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":"'), value, F.lit('"')))
@@ -70,11 +70,11 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("driver_id", F.when(n % 11 != 0, F.concat(F.lit("D-"), (F.col("user_id") % 40).cast("string")))),
         text("store_id", F.when(n % 13 != 0, F.lit("S1"))),
         bare("lat", F.when(n % 17 == 0, F.lit("95.5")).otherwise(F.lit("12.5"))),
-        F.when(n % 71 == 0, text("distance_m", F.lit("four thousand"))).when(n % 61 == 0, bare("distance_m", F.lit("-5"))).when(n % 59 == 0, text("distance_m", F.lit("12"))).otherwise(bare("distance_m", (n % 5000).cast("string"))),
+        F.when(n % 71 == 0, text("distance_m", F.lit("about a mile"))).when(n % 61 == 0, bare("distance_m", F.lit("-5"))).when(n % 59 == 0, text("distance_m", F.lit("12"))).otherwise(bare("distance_m", (n % 5000).cast("string"))),
         bare("promised_minutes", F.when(n % 67 == 0, F.lit("0")).otherwise(F.lit("45"))),
         text("schema_version", F.when(n % 2 == 0, F.lit("1.1.0")).when(n % 9 == 0, F.lit("9.9.9"))),
         text("vehicle_type", F.when(n % 6 == 0, F.lit("bike"))),
-        bare("weather_code", F.when(n % 53 == 0, F.lit("7"))),
+        bare("road_code", F.when(n % 53 == 0, F.lit("7"))),
         bare("_delay_hours", F.lit("1")),
     ]
     parts[3] = F.when((n % 7 == 4) & ((n % 83 == 0) | (n % 79 == 0)), text("event_ts", spelled)).otherwise(parts[3])
