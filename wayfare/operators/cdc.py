@@ -3,7 +3,7 @@ merge that state into a dimension."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,47 +34,46 @@ def parse(messages: DataFrame, key_columns: list[str], value: str = "value") ->
 
     Columns: kind, reason, op, table, key (array of text), lsn, ts_ms, snapshot, image (JSON text).
     A delete is known by its before image, everything else by its after image; a truncate has no key.
-    Null, blank and "null" messages, and those without an op, are tombstones."""
-    text = F.trim(F.col(value))
-    v = F.try_parse_json(text)
-    blank = text.isNull() | (text == "") | (text == "null")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    body = F.coalesce(F.try_variant_get(v, "$.payload", "variant"), v)
-    opened = messages.select(F.col(value).alias("message"), blank.alias("blank"), v.isNotNull().alias("json"), is_object.alias("object"), body.alias("b"))
+    Null, blank and "null" messages, and those without an op, are tombstones. arrival grows with the
+    place of the message in its file."""
+    # one projection for each step, so that no step's expressions are copied into the next; the row number
+    # keeps filters on the result from being pushed down, and all of the parsing copied into them
+    step = messages.select(F.col(value).alias("message"), F.trim(F.col(value)).alias("text"))
+    step = step.withColumns({"v": F.try_parse_json("text"), "blank": F.col("text").isNull() | F.col("text").isin("", "null")})
+    step = step.withColumns({"object": F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "b": F.coalesce(F.try_variant_get("v", "$.payload", "variant"), F.col("v"))})
 
     def get(path: str, kind: str) -> Column:
         return F.try_variant_get("b", f"$.{path}", kind)
 
-    op = F.lower(F.trim(get("op", "string")))
-    image = F.when(op == "d", get("before", "variant")).when(op.isin("c", "u", "r"), get("after", "variant"))
-    no_image = F.coalesce(~F.schema_of_variant(image).startswith("OBJECT"), F.lit(True))
-    key = F.array(*[F.try_variant_get(image, f"$.{'.'.join(k.split('__'))}", "string") for k in key_columns])
-
-    def number(*paths: str) -> Column:
-        return F.coalesce(*[F.nullif(get(p, "bigint"), F.lit(0)) for p in paths], F.lit(0))
-
+    numbers = {"lsn": ("source.lsn", "source.scn"), "ts_ms": ("ts_ms", "source.ts_ms")}
+    read = {n: F.coalesce(*[F.nullif(get(p, "bigint"), F.lit(0)) for p in paths], F.lit(0)) for n, paths in numbers.items()}
+    step = step.withColumns(read | {"op": F.lower(F.trim(get("op", "string"))), "table": F.coalesce(get("source.table", "string"), F.lit("")), "taken": F.lower(get("source.snapshot", "string"))})
+    op = F.col("op")
+    step = step.withColumn("i", F.when(op == "d", get("before", "variant")).when(op.isin("c", "u", "r"), get("after", "variant")))
+    parts = [F.try_variant_get("i", f"$.{'.'.join(k.split('__'))}", "string") for k in key_columns]
+    step = step.withColumns({"no_image": F.coalesce(~F.schema_of_variant("i").startswith("OBJECT"), F.lit(True)), "parts": F.array(*parts), "row_no": F.monotonically_increasing_id()})
     reason = F.coalesce(
-        F.when(~F.col("json"), F.lit("not_json")),
+        F.when(F.col("v").isNull(), F.lit("not_json")),
         F.when(~F.col("object"), F.lit("not_an_object")),
         F.when(~op.isin("c", "u", "d", "r", "t"), F.lit("unknown_op")),
-        F.when((op == "d") & no_image, F.lit("delete_without_before")),
-        F.when(op.isin("c", "u", "r") & no_image, F.lit("missing_after")),
-        F.when((op != "t") & F.exists(key, lambda k: k.isNull()), F.lit("null_key")),
+        F.when((op == "d") & F.col("no_image"), F.lit("delete_without_before")),
+        F.when(op.isin("c", "u", "r") & F.col("no_image"), F.lit("missing_after")),
+        F.when((op != "t") & F.exists("parts", lambda k: k.isNull()), F.lit("null_key")),
     )
     tombstone = F.col("blank") | (F.col("object") & op.isNull())
-    kind = F.when(tombstone, "tombstone").when(reason.isNotNull(), "error").otherwise("record")
-    snapshot = F.lower(get("source.snapshot", "string")).isin("true", "first", "last") | (op == "r")
-    return opened.select(
-        kind.alias("kind"),
-        F.when(~tombstone, reason).alias("reason"),
-        op.alias("op"),
-        F.coalesce(get("source.table", "string"), F.lit("")).alias("table"),
-        F.when(op != "t", key).alias("key"),
-        number("source.lsn", "source.scn").alias("lsn"),
-        number("ts_ms", "source.ts_ms").alias("ts_ms"),
-        F.coalesce(snapshot, F.lit(False)).alias("snapshot"),
-        F.to_json(image).alias("image"),
+    step = step.withColumns({"reason": F.when(F.col("row_no") >= 0, F.when(~tombstone, reason)), "empty": tombstone})
+    return step.select(
+        F.when(F.col("empty"), "tombstone").when(F.col("reason").isNotNull(), "error").otherwise("record").alias("kind"),
+        "reason",
+        "op",
+        "table",
+        F.when(op != "t", F.col("parts")).alias("key"),
+        "lsn",
+        "ts_ms",
+        F.coalesce(F.col("taken").isin("true", "first", "last") | (op == "r"), F.lit(False)).alias("snapshot"),
+        F.to_json("i").alias("image"),
         "message",
+        F.col("row_no").alias("arrival"),
     )
 
 
@@ -121,6 +120,15 @@ def counters(parsed: DataFrame) -> DataFrame:
     )
 
 
+def out_of_order(parsed: DataFrame) -> DataFrame:
+    """One number: the changes that arrived after one of their key with the same or a later position."""
+    position = F.struct(~F.col("snapshot"), "lsn", "ts_ms")
+    before = Window.partitionBy("table", "key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = parsed.where("kind = 'record' and op <> 't'").withColumn("position", position)
+    late = keyed.withColumn("reached", F.max("position").over(before)).where("position <= reached")
+    return late.agg(F.count("*").alias("out_of_order"))
+
+
 def merge(dimension: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """dimension(key, *columns, _lsn) after changes(key, *columns, deleted, lsn): upserts and deletes.
     A key that the batch doesn't name stays as it is, and an older batch never undoes a newer one."""
