@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 #: Stores and their pace (median minutes from assignment to delivery).
-STORES = {"NORTHGATE": 52.0, "RIVERSIDE": 46.0}
+STORES = {"HARBOUR": 52.0, "ORCHARD": 46.0}
 PROMISE_MINUTES = 45
 
 
@@ -38,7 +38,7 @@ def events(trips: int, days: int, seed: int, start: datetime = datetime(2026, 9,
         elif rng.random() < faults.broken:
             steps = [(k, 0.05 if k == "delivered" else s) for k, s in steps]
         second, newer = rng.random() < faults.second_producer, rng.random() < faults.newer_schema
-        driver = None if rng.random() < faults.null_driver else f"D-{rng.randrange(60):03d}"
+        driver = None if rng.random() < faults.null_driver else f"D-{rng.randrange(48):03d}"
         for kind, share in steps:
             ts = at + timedelta(minutes=whole * share)
             body = {
@@ -50,7 +50,7 @@ def events(trips: int, days: int, seed: int, start: datetime = datetime(2026, 9,
             if newer:
                 body |= {"vehicle_type": rng.choice(["bike", "van"]), "battery_pct": rng.randrange(5, 100)}
             if rng.random() < faults.undeclared:
-                body["weather_code"] = rng.randrange(5)
+                body["road_code"] = rng.randrange(5)
             if rng.random() < faults.late:
                 body["_delay_hours"] = rng.randrange(24, 60)
             out.append(json.dumps(body))

@@ -39,10 +39,15 @@ def write_batch(raw: DataFrame, root: str, batch_id: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch_id").parquet(check_uri(root))
 
 
-def replace_days(rows: DataFrame, root: str, day: str = "dt") -> None:
-    """Replace the days that rows hold, whole; other days stay."""
+def replace_days(rows: DataFrame, root: str, days: list[str] | None = None, day: str = "dt") -> None:
+    """Replace the days that rows hold, whole, and those listed: a listed day of which no row is left is
+    empty afterwards. Other days stay."""
+    root, spark = check_uri(root), rows.sparkSession
     out = rows.repartition(day).sortWithinPartitions("trip_id", "event_ts", "event_type")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(check_uri(root))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(root)
+    for gone in set(days or []) - {r[0] for r in rows.select(day).distinct().collect()}:  # days of one batch
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{day}={gone}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_days(spark: SparkSession, root: str, schema: str, days: list[str] | None = None) -> DataFrame:
@@ -81,7 +86,9 @@ def read_stream(spark: SparkSession, source: str, max_files: int = 100, kafka: d
     return stream.select("value", F.col("_metadata.file_modification_time").alias("ingested_at"))
 
 
-def write_kafka(df: DataFrame, servers: str, topic: str) -> None:
-    """Messages keyed by trip_id, so that a trip's events stay in order."""
+def write_kafka(df: DataFrame, servers: str, topic: str, options: dict | None = None) -> None:
+    """Messages keyed by trip_id, so that a trip's events stay in order. A message counts as sent when all
+    replicas have it; retries neither double nor reorder; a task whose sends fail fails."""
+    delivery = {"kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.linger.ms": "50", "kafka.delivery.timeout.ms": "120000", "kafka.compression.type": "snappy"}
     out = df.select(F.col("trip_id").alias("key"), F.to_json(F.struct("*")).alias("value"))
-    out.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.compression.type", "snappy").save()
+    out.write.format("kafka").options(**delivery | (options or {})).option("kafka.bootstrap.servers", servers).option("topic", topic).save()

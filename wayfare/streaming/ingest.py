@@ -38,7 +38,8 @@ def start(stream: DataFrame, root: str, once: bool = True, every: str = "30 seco
 
 
 def open_trip_counts(stream: DataFrame) -> DataFrame:
-    """Events for each trip and hour, on event time: the stateful branch alone has a watermark."""
+    """(window, store_id, events): events for each store and hour, on event time: the stateful branch alone has
+    a watermark. Events more than WATERMARK behind the newest are not counted here; bronze keeps them."""
     valid = contract.normalise(stream).where("reason is null")
     timed = valid.withWatermark("event_ts", WATERMARK)
     return timed.groupBy(F.window("event_ts", "1 hour"), "store_id").agg(F.count("*").alias("events"))
