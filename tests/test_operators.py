@@ -76,7 +76,7 @@ def test_star_and_marts(spark):
     daily = {r.store_day_key: r for r in marts.store_daily(marts.staging(fact)).collect()}
     assert daily["S1|2026-10-01"].breach_rate == 1.0 and daily["S2|unknown"].breach_rate is None
     errors = {r.store_id: r for r in marts.promise_error(marts.staging(fact)).collect()}
-    assert errors["S1"].mean_error == 15.0 and errors["S1"].p50_error is None
+    assert errors["S1"].mean_signed_error_minutes == 15.0 and errors["S1"].p50_error_minutes is None
 
 
 def envelope(op, key, lsn, before=None, after=None, snapshot="false", **more):
@@ -138,7 +138,7 @@ def test_gates(spark):
     events = frame(spark, trip("T"))
     assert verdict(gates.freshness(events, "event_ts", "2026-10-01 11:00:00", 2)) and not verdict(gates.freshness(events, "event_ts", "2026-10-01 18:00:00", 2))
     assert not verdict(gates.freshness(events.limit(0), "event_ts", "2026-10-01 18:00:00", 2))
-    daily = spark.createDataFrame([("1", 9900), ("2", 10100), ("3", 10000), ("4", 9950), ("5", 3100)], "date_key string, n long")
+    daily = spark.createDataFrame([("1", 640), ("2", 655), ("3", 610), ("4", 702), ("5", 240)], "date_key string, n long")
     assert not verdict(gates.volume_band(daily, "5"))
     short = gates.volume_band(daily.where("date_key in ('1', '5')"), "5").first()
     assert short.passed and short.severity == "WARN"
