@@ -87,7 +87,7 @@ def normalise(raw: DataFrame, value: str = "value", ingested_at: str = "ingested
     step = step.withColumns(numbers | {"kind": F.lower("t_event_type"), "version": F.coalesce(f"t_{registry.RESERVED}", F.lit(registry.OLDEST))})
 
     # a filter on the reason would else be pushed down, and all of the parsing copied into it
-    step = step.withColumn("row_no", F.monotonically_increasing_id())
+    step = step.withColumn("drawn", F.rand(0))
 
     def text(name: str) -> Column:
         return F.col(f"t_{name}")
@@ -127,7 +127,7 @@ def normalise(raw: DataFrame, value: str = "value", ingested_at: str = "ingested
     )
     own = F.map_filter(fields, lambda k, _: ~F.array_contains(columns, k))
     absent = F.map_filter(F.col("given"), lambda k, _: ~F.array_contains(F.map_keys(fields), k) & ~F.array_contains(columns, k))
-    step = step.withColumns({"extra_map": F.map_concat(absent, own), "issues": issues, "reason": F.when(F.col("row_no") >= 0, reason)})
+    step = step.withColumns({"extra_map": F.map_concat(absent, own), "issues": issues, "reason": F.when(F.col("drawn") >= 0, reason)})
     return step.select(
         text("event_id").alias("event_id"),
         text("trip_id").alias("trip_id"),
