@@ -97,7 +97,7 @@ def fit(
     not learn from it. Rows are gone through 6 to 40 times, so that there are about `visits` in all.
 
     Labels or ids that are null and documents without a label teach nothing; of repeated labels the
-    largest counts. Without a usable label the model scores 0 everywhere."""
+    largest counts. Without learned rows of both kinds nothing can be told apart, and the model scores 0 everywhere."""
     known = (
         labels.where("toxic is not null and doc_id is not null")
         .where(~held_out())
@@ -117,9 +117,8 @@ def fit(
         "toxic-train",
     )
     n, pos = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    nothing = Model(np.empty(0, np.int64), -30.0, np.empty(0), np.empty((0, rank)), n_buckets)
     if not n or not pos or pos == n:
-        return nothing if pos < max(n, 1) else Model(nothing.buckets, 30.0, nothing.weights, nothing.factors, n_buckets)
+        return Model(np.empty(0, np.int64), -30.0, np.empty(0), np.empty((0, rank)), n_buckets)
     known_terms = _telling(train, n, pos, min_gain, max_terms)
     speaking = np.sort([t for t, share in known_terms if share > pos / n])
     if len(speaking):
