@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import fresh, join_hot, short_batches, stored, text_or_empty
+from wayfare.llm.common import forget, fresh, join_hot, short_batches, stored, text_or_empty
 
 PASSAGE_WORDS = 50
 GEAR = np.random.default_rng(1729).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -123,7 +123,9 @@ def remove_repeats(docs: DataFrame, least_run: int = 128) -> DataFrame:
     rows = docs.withColumn(key, F.xxhash64("doc_id", text_or_empty()))
     cut = stored(chunks(rows, key), "chunks")
     shared = cut.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    copies = stored(join_hot(cut, stored(shared.drop("last"), "chunk-shared"), ["a", "b"], "n", cut.count()), "chunk-copies")
+    shared = stored(shared.drop("last"), "chunk-shared")
+    copies = stored(join_hot(cut, shared, ["a", "b"], "n", cut.count()), "chunk-copies")
+    forget(cut, shared)
     repeats = copies.where("doc_id > first").select(key, "start", "size", "first").distinct()
     run_type = "array<struct<start:int,end:int,sources:array<bigint>>>"
 
