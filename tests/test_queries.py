@@ -35,3 +35,14 @@ def test_query(spark, duck, name):
     order = sorted(range(len(cursor.description)), key=lambda i: cursor.description[i][0])
     assert columns == [cursor.description[i][0] for i in order]
     assert ours == sorted(repr(tuple(plain(r[i]) for i in order)) for r in cursor.fetchall())
+
+
+def test_numbers_of_events_with_null_and_negative_ids(spark, tmp_path):
+    """As in the SQL, no spelling goes to a row whose id leaves a remainder other than 0 to 4, or none."""
+    rows = [(n, None if n is not None and n % 7 == 0 else v) for n in (*range(-12, 12), None) for v in (12.75, -0.5, 3e9)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    df = catalog.coerce_numeric(spark, str(tmp_path))
+    assert df.columns == ["event_id", "as_int", "as_float"]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, con.execute(catalog.ORACLE_SQL["coerce_numeric"]).fetchall()))

@@ -128,7 +128,7 @@ def ts_reject_lenient(spark, sf) -> DataFrame:
   case event_id % 5 when 0 then value when 2 then null when 3 then value when 4 then 'inf'::double end as as_float from events""")
 def coerce_numeric(spark, sf) -> DataFrame:
     value, n = F.col("value").cast("string"), F.col("event_id")
-    text = F.when(n % 5 == 0, value).when(n % 5 == 1, F.lit("about a mile")).when(n % 5 == 2, F.lit("nan")).when(n % 5 == 3, F.concat(F.lit(" "), value, F.lit(" "))).otherwise(F.lit("Infinity"))
+    text = F.when(n % 5 == 0, value).when(n % 5 == 1, F.lit("about a mile")).when(n % 5 == 2, F.lit("nan")).when(n % 5 == 3, F.concat(F.lit(" "), value, F.lit(" "))).when(n % 5 == 4, F.lit("Infinity"))
     return adapters.table(spark, sf, "events").select("event_id", contract.as_int(text).alias("as_int"), contract.as_float(text).alias("as_float"))
 
 
